@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bigru
 from .common import table
 from .near_dedup import near_duplicates
+from .order_minhash import edited_fingerprints
+from .packing import pack
+
+#: Where the public tokenizer of the packing query lies.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    net = bigru.fit(docs, held_out=held_out)
+    return bigru.label_languages(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_order_minhash": op2_order_minhash,
     "op4_near_dedup": op4_near_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_vector_packing": op10_vector_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
