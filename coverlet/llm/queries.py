@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bigru
+from . import bigru, secrets
 from .common import table
 from .near_dedup import near_duplicates
 from .order_minhash import edited_fingerprints
@@ -26,6 +26,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document stands for a repository, its source for the owner."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.digest(F.col("base_spans")).alias("base_sha256"), secrets.span_text("spans").alias("spans"), "n_live", "n_example")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
@@ -40,6 +46,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
     "op4_near_dedup": op4_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_vector_packing": op10_vector_packing,
 }
