@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import pieces, texts_of
 from .tokens import ChunkEncoder
 
+#: Sequences made before newly made kinds of piece are looked at.
+_ROUND = 32
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -92,32 +94,40 @@ class Packer:
         """Sequences, until fewer than `least` tokens wait."""
         full = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
         while self.tokens >= max(1, least):
+            # Of each kind (length, loss) a row; those that a cut makes join at the next round.
             kinds = list(self.waiting)
             demand = np.array([(n, 1, loss) for n, loss in kinds], float)
+            worth = demand / (full * full)
             count = np.array([len(self.waiting[k]) for k in kinds])
-            left, out = full.copy(), []
-            while True:
-                fits = (count > 0) & (demand <= left).all(1)
-                if fits.any():
-                    gain = np.where(fits, (demand / full) @ (left / full), -1)
+            for _ in range(_ROUND):
+                if self.tokens < max(1, least) or not count.any():
+                    break
+                left, out, cut = full.copy(), [], False
+                while left[0] >= 1 and left[1] >= 1:
+                    gain = np.where((count > 0) & (demand[:, 0] <= left[0]) & (demand[:, 2] <= left[2]), worth @ left, -1)
                     at = int(gain.argmax())
+                    size = 0
+                    if gain[at] < 0:
+                        at = int(np.where(count > 0, demand[:, 0], -1).argmax())
+                        if not self.limits.cuts or not count[at]:
+                            break
+                        size = self.waiting[kinds[at]][-1].longest(int(left[0]), int(left[2]))
+                        if size < 1:
+                            break
                     piece = self._take(kinds[at])
                     count[at] -= 1
-                elif self.limits.cuts and left[0] >= 1 and left[1] >= 1 and (count > 0).any():
-                    at = int(np.where(count > 0, demand[:, 0], -1).argmax())
-                    piece = self._take(kinds[at])
-                    size = piece.longest(int(left[0]), int(left[2]))
-                    if size < 1:
-                        self._wait(piece)
+                    if size:
+                        piece, rest = piece.cut(size)
+                        self._wait(rest)
+                        cut = True
+                    out.append(piece)
+                    left -= (len(piece), 1, piece.loss)
+                    if cut and not count.any():
                         break
-                    count[at] -= 1
-                    piece, rest = piece.cut(size)
-                    self._wait(rest)
-                else:
-                    break
-                out.append(piece)
-                left -= (len(piece), 1, piece.loss)
-            yield out
+                yield out
+                if cut:
+                    index = {k: i for i, k in enumerate(kinds)}
+                    count = np.array([len(self.waiting.get(k, ())) for k in index])
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits | None = None, end_id: int = 1) -> DataFrame:

@@ -11,11 +11,16 @@ from array import array
 
 import numpy as np
 
-from .common import CACHE_ENTRIES
+
+
+#: Marks that end a chunk apart: after a letter the splitter starts a new piece at them.
+_MARKS = b".,!?;:#$%&*|"
+#: Chunks that one worker remembers.
+REMEMBERED = 1_200_000
 
 
 class ChunkEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids, for lower-casing tokenizers."""
 
     _made: dict[str, ChunkEncoder] = {}
 
@@ -25,6 +30,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a word; empty where the vocabulary does not say.
+        self.ends = np.zeros(max(vocab.values()) + 1 if suffix else 0, bool)
+        if suffix:
+            self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
 
     @classmethod
     def at(cls, path: str) -> ChunkEncoder:
@@ -32,17 +43,47 @@ class ChunkEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _learn_words(self, words: list[bytes]) -> list[bytes]:
+        """Learn words of letters only, many in one call, told apart by the ids that end a word; return what is left."""
+        left = []
+        for start in range(0, len(words), 4000) if len(self.ends) else ():
+            part = words[start : start + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(part):
+                left += part
+                continue
+            ids, at = ids.tobytes(), ends.tolist()
+            self.ids.update((x, ids[a:b]) for x, a, b in zip(part, [0, *at[:-1]], at, strict=True))
+        return left if len(self.ends) else words
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        for start in range(0, len(chunks), 10_000):
+            part = chunks[start : start + 10_000]
+            encoded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
+            self.ids.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, encoded, strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.ids) > CACHE_ENTRIES:
+        if len(self.ids) > REMEMBERED:
             self.ids.clear()
-        chunks = [x.split() for x in texts]
-        new = list(set().union(*chunks).difference(self.ids)) if chunks else []
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            encoded = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.ids.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, encoded, strict=True))
-        known = self.ids.__getitem__
-        return [b"".join(map(known, x)) for x in chunks]
+        # A special token's text has capitals or not; only texts without its beginning are lower-cased here.
+        chunks = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        new = set().union(*chunks).difference(self.ids)
+        words, rest, ended = set(), [], []
+        for x in new:
+            word = x.rstrip(_MARKS)
+            if word.isalpha() or not word.isascii() and word.decode("utf-8", "replace").isalpha():
+                if word is not x and len(word) < len(x):
+                    ended.append((x, word, x[len(word) :]))
+                words.add(word)
+            else:
+                rest.append(x)
+        rest += {x[2] for x in ended}.difference(self.ids)
+        self._learn(rest + self._learn_words(list(words.difference(self.ids))))
+        known = self.ids
+        for x, word, mark in ended:
+            known[x] = known[word] + known[mark]
+        return [b"".join(map(known.__getitem__, x)) for x in chunks]
 
 
 def ids_of(encoded: bytes) -> np.ndarray:
