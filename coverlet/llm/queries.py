@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bigru, secrets
+from .chat import END, START, chains, digests, format_trees
 from .common import table
+from .context_mixing import score_texts
 from .near_dedup import near_duplicates
 from .order_minhash import edited_fingerprints
 from .packing import pack
@@ -26,6 +28,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose two texts say control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = f"{END}{START}assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    made = format_trees(chains(rows.union(more)))
+    return digests(made.select(F.col("tree.id").alias("conv_id"), "formatted", "loss"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document stands for a repository, its source for the owner."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -45,7 +62,9 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
+    "op3_context_mixing": op3_context_mixing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_reply_trees": op5_reply_trees,
     "op6_secret_scan": op6_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_vector_packing": op10_vector_packing,
