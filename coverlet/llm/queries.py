@@ -12,6 +12,7 @@ from . import bigru, secrets
 from .chat import END, START, chains, digests, format_trees
 from .common import table
 from .context_mixing import score_texts
+from .decontaminate import contaminated
 from .near_dedup import near_duplicates
 from .order_minhash import edited_fingerprints
 from .packing import pack
@@ -20,6 +21,10 @@ from .packing import pack
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_order_minhash": op2_order_minhash,
     "op3_context_mixing": op3_context_mixing,
     "op4_near_dedup": op4_near_dedup,
@@ -70,4 +76,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vector_packing": op10_vector_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words and five-word shingles of a table's texts, as decontamination takes them.
+_SQL_SHINGLES = """
+SELECT {id} AS id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle
+FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table})
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH item AS ({_SQL_SHINGLES.format(id="item_id", table="benchmark")}),
+size AS (SELECT id, count(*) AS n FROM item GROUP BY id),
+doc AS ({_SQL_SHINGLES.format(id="doc_id", table="documents")}),
+found AS (SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS k FROM doc JOIN item USING (shingle) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(k AS INTEGER) AS n_found, CAST(k AS DOUBLE) / n AS containment
+FROM found JOIN size ON item_id = size.id WHERE k >= ceil(0.75 * n)
+""",
+}
