@@ -217,3 +217,15 @@ def label_languages(docs: DataFrame, net: BiGRU | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_recognised(docs: DataFrame, net: BiGRU | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """The documents whose language is recognised with a probability of at least `least`; columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(net) if net else None
+        for batch in pieces(batches, text_col):
+            found = labeller.pooled(texts_of(batch.column(batch.schema.get_field_index(text_col)))) if labeller else []
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found] or [False] * batch.num_rows))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from . import bigru, secrets
 from .chat import END, START, chains, digests, format_trees
-from .common import table
+from .common import WORD_PATTERN, shared_folder, stored, table
 from .context_mixing import score_texts
 from .decontaminate import contaminated
 from .near_dedup import near_duplicates
 from .order_minhash import edited_fingerprints
 from .packing import pack
+from .sharding import ShardStore
+from .token_counts import TokenTotals, deletes, inserts, revisions
 
 #: Where the public tokenizer of the packing query lies.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +56,31 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", secrets.digest(F.col("base_spans")).alias("base_sha256"), secrets.span_text("spans").alias("spans"), "n_live", "n_example")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive as small shards and are compacted; where each row ended."""
+    store = ShardStore(spark, shared_folder(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", F.length("text").cast("long").alias("text_chars"), F.col("shard.id").alias("shard_id"), F.col("shard.rows").alias("shard_rows"), "shard.tier", "shard.version")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' words by two tokenizers; then the first one's counts get an end token, and documents of
+    fewer than five of its words leave. The third batch comes twice."""
+    docs = table(spark, sf_dir, "documents")
+    count = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+    counts = stored(docs.select("source", "lang", count(WORD_PATTERN).alias("words"), count("[\\p{L}\\p{N}]+").alias("runs")), "counts")
+    of = lambda version, tokens, *more: counts.select("source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("tokens"), *more, "words")
+    words, runs = F.col("words"), F.col("runs")
+    revised = revisions(of("words-1", words + 1, words.alias("was")))
+    gone = deletes(of("words-1", words + 1).union(of("runs-1", runs)).where(words < 5))
+    totals = TokenTotals(spark, shared_folder(spark, "totals"))
+    for batch, deltas in (("words", inserts(of("words-1", words))), ("runs", inserts(of("runs-1", runs))), ("end", revised), ("end", revised), ("short", gone)):
+        totals.commit(batch, deltas)
+    return totals.read()
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
@@ -72,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_reply_trees": op5_reply_trees,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sharding": op7_sharding,
+    "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_vector_packing": op10_vector_packing,
 }
@@ -91,5 +120,14 @@ doc AS ({_SQL_SHINGLES.format(id="doc_id", table="documents")}),
 found AS (SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS k FROM doc JOIN item USING (shingle) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(k AS INTEGER) AS n_found, CAST(k AS DOUBLE) / n AS containment
 FROM found JOIN size ON item_id = size.id WHERE k >= ceil(0.75 * n)
+""",
+    "op8_token_counts": """
+WITH doc AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+    len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) AS runs FROM documents),
+each AS (SELECT source, lang, 'words-1' AS tokenizer_version, words, words + 1 AS tokens FROM doc
+    UNION ALL SELECT source, lang, 'runs-1', words, runs FROM doc)
+SELECT source, lang, tokenizer_version, CAST(count_if(words >= 5) AS BIGINT) AS n_docs,
+    CAST(coalesce(sum(tokens) FILTER (words >= 5), 0) AS BIGINT) AS n_tokens
+FROM each GROUP BY ALL
 """,
 }
