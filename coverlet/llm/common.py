@@ -12,9 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker holds as words at one time.
-WORK_BYTES = 4 << 20
-#: Entries that a worker-wide cache may hold before it is emptied.
+WORK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+#: Entries that a worker-wide cache may hold before it is emptied; hashes are cheap to make again.
 CACHE_ENTRIES = 300_000
+HASH_ENTRIES = 50_000
 #: A word: a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -22,10 +25,10 @@ U64 = np.uint64
 
 
 class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered up to CACHE_ENTRIES words."""
+    """64-bit hash of a word's bytes, remembered up to HASH_ENTRIES words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= HASH_ENTRIES:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -78,6 +81,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Bound what passes between the JVM and a Python worker at once: both sides hold a batch or two."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context._conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -91,10 +100,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
+def stored(df: DataFrame, name: str, fewer: int = 1) -> DataFrame:
+    """Write a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    A table that is much smaller than the shuffles it comes from is written in that many times fewer files.
+    """
+    spark = settle(df.sparkSession)
     path = shared_folder(spark, name)
+    if fewer > 1:
+        df = df.coalesce(max(1, shuffle_parts(spark) // fewer))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -110,4 +124,4 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")

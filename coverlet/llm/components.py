@@ -40,15 +40,15 @@ def components(links: DataFrame) -> DataFrame:
     kind = links.schema["a"].dataType.simpleString()
     links = links.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = links.mapInArrow(_spanning, f"a {kind}, b {kind}")
-    edges = stored(edges.union(edges.select("b", "a")).distinct(), "edges")
+    edges = stored(edges.union(edges.select("b", "a")).distinct(), "edges", 16)
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("comp"))
-    labels = stored(labels, "labels")
+    labels = stored(labels, "labels", 16)
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
         of = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         jumped = least.join(of, "comp", "left").select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "was")
-        jumped = stored(jumped, "labels")
+        jumped = stored(jumped, "labels", 16)
         labels = jumped.select("node", "comp")
         if jumped.where("comp <> was").isEmpty():
             return labels

@@ -1,9 +1,10 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
 Documents with equal shingle sets are one class; only classes are sketched, banded and compared. A band's
-bucket is never expanded into all its pairs: each member is first compared with the bucket's leader, which
-joins most members; then only members of a bucket that are still in different components are compared, in
-blocks of bounded size. Every link is confirmed on full shingle sets.
+bucket is never expanded into pairs: each member is first compared with the bucket's leader, which joins most
+members. Buckets that share members then make a group; in each, only members outside the group's main component
+are compared with the others, in blocks of bounded size, and one link to each other component leaves a block.
+Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ WIDTH, SHARE, OF = 5, 75, 100
 SLOTS, BANDS, ROWS = 128, 32, 4
 #: Estimated likeness from which a candidate is verified: over five standard errors below SHARE / OF.
 LIKELY = 0.55
-#: Members of a bucket that one comparison task holds on each side.
-BLOCK = 512
+#: Shingles that one comparison task holds on each side, about.
+BLOCK = 1 << 20
 #: Rows of (class, document) up to which the list of candidates is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -76,33 +77,31 @@ def _confirm(batches: Iterator[pa.RecordBatch], share: int, of: int) -> Iterator
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
 
-def _across(rows: pa.Table) -> pa.Table:
-    """Likely pairs of one block of a bucket's outliers (side 0) with one block of its members (side 1), in different components."""
-    left, right = (rows.filter(pc.equal(rows["side"], k)) for k in (0, 1))
-    if not left.num_rows or not right.num_rows:
-        return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-    sig = [np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, SLOTS) for t in (left, right)]
-    nodes, comps = ([np.array(t[c].to_pylist(), object) for t in (left, right)] for c in ("node", "comp"))
-    pairs: set = set()
-    for k in range(len(sig[0])):
-        other = comps[1] != comps[0][k]
-        for j in np.flatnonzero(other & ((sig[1] == sig[0][k]).mean(1) >= LIKELY)):
-            a, b = nodes[0][k], nodes[1][j]
-            pairs.add((a, b) if a < b else (b, a))
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, share: int, of: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are alike."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "rep"), "node")
-    wanted = stored(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, docs.doc_id == wanted.rep).select("node", "text")
-    sets = stored(sets.mapInArrow(lambda it: _sets(it, width), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, share, of), "a binary, b binary"), "links")
+def _across(share: int, of: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links of one block of a group's outliers (side 0) to one block of its members (side 1): one for each outlier and component."""
+        left, right = (rows.filter(pc.equal(rows["side"], k)) for k in (0, 1))
+        links: list[tuple[bytes, bytes]] = []
+        if left.num_rows and right.num_rows:
+            flat = np.frombuffer(b"".join(right["shingles"].to_pylist()), np.uint64)
+            known, flat = np.unique(flat, return_inverse=True)
+            size = np.array([len(x) // 8 for x in right["shingles"].to_pylist()])
+            starts = np.cumsum(size) - size
+            nodes, comps = right["node"].to_pylist(), np.unique(right["comp"].to_pylist() + left["comp"].to_pylist(), return_inverse=True)[1]
+            mark = np.zeros(len(known) + 1, np.int32)
+            for node, comp, mine in zip(left["node"].to_pylist(), comps[len(nodes) :], left["shingles"].to_pylist(), strict=True):
+                mine = np.frombuffer(mine, np.uint64)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                at = at[known[at] == mine]
+                mark[at] = 1
+                both = np.add.reduceat(mark[flat], starts)
+                mark[at] = 0
+                linked = np.flatnonzero((of * both >= share * (len(mine) + size - both)) & (comps[: len(nodes)] != comp))
+                for k in linked[np.unique(comps[linked], return_index=True)[1]]:
+                    links.append((node, nodes[k]))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF) -> DataFrame:
@@ -116,28 +115,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(docs.mapInArrow(lambda it: _sketch(it, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "sketches")
-    classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
+    classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = stored(classes, "classes", 4)
 
     banded = classes.select(F.explode("bands").alias("key"), "rep", "node")
     leaders = banded.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(leaders, "key").select("key", F.col("lead.node").alias("leader"), "node"), "members")
+    members = stored(banded.join(leaders, "key").select("key", F.col("lead.node").alias("leader"), "node"), "members", 4)
     sig = classes.select("node", "sig")
+    sets = members.select("node").distinct().join(classes.select("node", "rep"), "node")
+    sets = stored(sets, "wanted", 16)
+    if sets.count() <= BROADCAST_ROWS:
+        sets = F.broadcast(sets)
+    sets = docs.join(sets, docs.doc_id == sets.rep).select("node", "text").mapInArrow(lambda it: _sets(it, width), "node binary, shingles binary")
+    sets = stored(sets.dropDuplicates(["node"]), "sets", 4)
+
     stars = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sig.toDF("b", "t"), "b").join(sig.toDF("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(_estimate, "a binary, b binary")
-    links = _verified(stars, classes, docs, width, share, of)
+    stars = stars.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    links = stored(stars.mapInArrow(lambda it: _confirm(it, share, of), "a binary, b binary"), "links", 16)
 
     found = components(links)
-    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = placed.join(sizes, "key").join(sig, "node")
-    cut = lambda n: F.ceil((n) / BLOCK).cast("int")
-    n_right, n_left = cut(F.col("n")), cut(F.col("n") - F.col("main.count"))
+    group = components(members.select(F.col("leader").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "group")
+    placed = group.join(found, "node", "left").select("group", "node", F.coalesce("comp", "node").alias("comp")).join(classes.select("node", "n"), "node")
+    sizes = placed.groupBy("group", "comp").agg(F.sum("n").alias("n")).groupBy("group").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    open_ = stored(placed.drop("n").join(sizes, "group").join(sets, "node"), "open", 4)
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    n_right, n_left = cut(F.col("n")), cut(F.col("n") - F.col("main.n"))
     block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    right = open_.select("key", F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"), block(n_right).alias("j"), "node", "comp", "sig", F.lit(1).alias("side"))
-    left = open_.where("comp <> main.comp").select("key", block(n_left).alias("i"), F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"), "node", "comp", "sig", F.lit(0).alias("side"))
-    crossing = left.union(right).groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
-    more = _verified(crossing, classes, docs, width, share, of)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    right = open_.select("group", every(n_left).alias("i"), block(n_right).alias("j"), "node", "comp", "shingles", F.lit(1).alias("side"))
+    left = open_.where("comp <> main.comp").select("group", block(n_left).alias("i"), every(n_right).alias("j"), "node", "comp", "shingles", F.lit(0).alias("side"))
+    more = stored(left.union(right).groupBy("group", "i", "j").applyInArrow(_across(share, of), "a binary, b binary"), "links", 16)
 
     found = components(links.union(more))
     named = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
@@ -146,3 +154,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF) -> DataFrame:
+    """The documents without those that are not kept; columns stay as they are.
+
+    A doc_id with several rows goes when none of them is kept. Rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, width, share, of).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = stored(gone.where("not kept").select(F.col("doc_id").alias("_gone")), "gone", 16)
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
