@@ -87,7 +87,7 @@ class Mixer:
         docs, k = len(starts), len(rows) + 1
         total = np.zeros(docs)
         weights = np.tile(WEIGHTS, (docs * DEPTH * GATES, 1))
-        seen = np.zeros((docs, 2, SYMBOLS), np.float32).reshape(-1)
+        own = np.zeros((docs, SYMBOLS), np.float32)
         hits = np.zeros((2, docs * BUCKETS), np.float32)
         begin, end = 0, FIRST
         while True:
@@ -99,6 +99,8 @@ class Mixer:
             at = np.repeat(starts[live] + begin - first, size) + np.arange(size.sum())
             doc, mine = np.repeat(live, size), symbols[at]
             places = [r[at] * SYMBOLS for r in rows]
+            row = np.repeat(np.arange(len(live)) * SYMBOLS, size)
+            ones_at, both_at = self._nodes(own[live])
             cost = np.zeros(len(at), np.float32)
             for depth in range(DEPTH):
                 node = (1 << depth) + (mine >> (DEPTH - depth))
@@ -106,8 +108,7 @@ class Mixer:
                 inputs = np.empty((k, len(at)), np.float32)
                 for i, place in enumerate(places):
                     np.take(self.table, place + node, out=inputs[i])
-                own = doc * (2 * SYMBOLS) + node
-                ones, both = seen[own + SYMBOLS], seen[own]
+                ones, both = ones_at[row + node], both_at[row + node]
                 base = 1 / (1 + np.exp(-inputs[0]))
                 near = (ones + PRIOR * base + 0.02) / (both + PRIOR + 0.04)
                 inputs[-1] = np.log(near / (1 - near))
@@ -125,11 +126,20 @@ class Mixer:
                     weights[:, i] += LEARN * np.bincount(chosen, slope * inputs[i], len(weights)) / self._scale(begin)
                 hits[0] += np.bincount(cell, bit, hits.shape[1])
                 hits[1] += np.bincount(cell, minlength=hits.shape[1])
-                np.add.at(seen, own, 1)
-                np.add.at(seen, own + SYMBOLS, bit)
+            np.add.at(own.reshape(-1), doc * SYMBOLS + mine, np.float32(1))
             total[live] += np.add.reduceat(cost.astype(np.float64), first)
             begin, end = end, 2 * end
 
+    @staticmethod
+    def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node of each document, how often its bit was 1 and how often it was passed."""
+        ones, both, level = np.empty_like(counts), np.empty_like(counts), counts
+        for depth in range(DEPTH - 1, -1, -1):
+            one = level[:, 1::2]
+            level = level[:, 0::2] + one
+            ones[:, 1 << depth : 2 << depth], both[:, 1 << depth : 2 << depth] = one, level
+        return ones.reshape(-1), both.reshape(-1)
+
     @staticmethod
     def _scale(begin: int) -> float:
         """Blocks double, so later gradients are sums of more terms."""
@@ -173,9 +183,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         for doc_id, text, learn in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             words = words_of(text) + [END]
-            for w in words:
-                if w not in at:
-                    at[w] = len(at)
+            new = set(words).difference(at)
+            at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
             docs.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
             ids.append(doc_id)
             learned.append(bool(learn))
