@@ -74,7 +74,7 @@ JAVA_YEAR = r"\b((?:19|20)\d{2})\b"
 #: Rewrites of a syllabus, in order: (rule, pattern, replacement).
 STANDARD_RULES = (
     ("book_parenthetical_plural", r"(?iu)\bBOOKS?\(s\)", "BOOKS"),
-    ("whitespace_noise", "[   ]|\\x0c", None),
+    ("whitespace_noise", "[\u00a0\u2007\u202f]|\\x0c", None),
     ("course_code_cohort_prefix", r"\bPT(?=[A-Z]{2,3}\d{3,4}\b)", ""),
     ("bullet_marker", r"(?md)^[ \t]*[•◦▪●‣∙·]\s*", " – "),
     ("unit_header_synonym", r"(?imud)^(\s*)(MODULE|CHAPTER|BLOCK)(?=\s*[-–:]?\s*(?:[IVXLCDM]+|\d+)\b)", "$1UNIT"),
