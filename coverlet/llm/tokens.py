@@ -16,7 +16,7 @@ import numpy as np
 #: Marks that end a chunk apart: after a letter the splitter starts a new piece at them.
 _MARKS = b".,!?;:#$%&*|"
 #: Chunks that one worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 250_000
 
 
 class ChunkEncoder:
@@ -64,11 +64,13 @@ class ChunkEncoder:
             self.ids.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, encoded, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
         # A special token's text has capitals or not; only texts without its beginning are lower-cased here.
         chunks = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        new = set().union(*chunks).difference(self.ids)
+        seen = set().union(*chunks)
+        if len(self.ids) > REMEMBERED:
+            # What these texts have again is likely to come again.
+            self.ids = {x: self.ids[x] for x in seen.intersection(self.ids)}
+        new = seen.difference(self.ids)
         words, rest, ended = set(), [], []
         for x in new:
             word = x.rstrip(_MARKS)
