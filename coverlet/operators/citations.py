@@ -106,6 +106,8 @@ def resolve(citations: DataFrame, catalog: DataFrame, config: EngineConfig = DEF
     books = catalog.select("book_seq", "book_key", "title", "authors", "filename")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in citations.schema)
     n = books.count()
+    # A row costs a comparison with the whole catalog, so rows are spread over all tasks first.
+    citations = citations.repartition(int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def best(lines: pd.Series, known: list) -> tuple[list, list, list]:
         out = []
