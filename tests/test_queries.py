@@ -4,6 +4,7 @@ import glob
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from coverlet.plans import ORACLE_SQL, QUERIES
@@ -20,7 +21,7 @@ def con():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     if isinstance(value, float):
         return round(value, 6)
