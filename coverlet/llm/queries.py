@@ -129,5 +129,26 @@ each AS (SELECT source, lang, 'words-1' AS tokenizer_version, words, words + 1 A
 SELECT source, lang, tokenizer_version, CAST(count_if(words >= 5) AS BIGINT) AS n_docs,
     CAST(coalesce(sum(tokens) FILTER (words >= 5), 0) AS BIGINT) AS n_tokens
 FROM each GROUP BY ALL
+""",
+    "op4_near_dedup": r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM doc),
+size AS (SELECT doc_id, count(s) AS n FROM doc LEFT JOIN shingle USING (doc_id) GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingle x JOIN shingle y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, way.b FROM reach JOIN way ON way.a = reach.other)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM size JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+""",
+    "op5_reply_trees": r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+each AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256,
+    CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*[|]'))) AS BIGINT) AS formatted_chars
+FROM each GROUP BY conv_id
 """,
 }
