@@ -20,6 +20,18 @@ def with_stems(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_title", title).withColumn("title_stems", stem_set(F.col("chunk_title"))).withColumn("body_stems", stem_set(F.col("text")))
 
 
+def keyword_overlaps(topics: DataFrame, chunks: DataFrame, topic: str, chunk: str) -> DataFrame:
+    """(topic, chunk, keyword) of the pairs that share a stem, by an index of stems instead of all pairs.
+
+    topics: (topic, topic_stems); chunks: (chunk, title_stems, body_stems). Pairs that are missing score 0.
+    """
+    asked = topics.select(topic, F.size("topic_stems").alias("n"), F.explode("topic_stems").alias("stem"))
+    weighed = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("stem"), F.lit(w).alias("w")))
+    index = chunks.select(chunk, F.inline(F.concat(weighed(F.col("title_stems"), 2), weighed(F.array_except("body_stems", "title_stems"), 1))))
+    hits = index.join(asked, "stem").groupBy(topic, chunk, "n").agg(F.sum("w").alias("hits"))
+    return hits.select(topic, chunk, F.least(F.lit(1.0), F.col("hits") / (2 * F.col("n"))).alias("keyword"))
+
+
 def best_passages(scored: DataFrame, topic: tuple[str, ...], book: str, order: tuple[str, ...], coverage: str = "coverage") -> DataFrame:
     """Each topic's best row of each book by unrounded coverage, the first by `order` of equals.
 

@@ -110,9 +110,8 @@ def _topics_and_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     topics, chunks = _topics_and_chunks(spark, folder)
-    pairs = chunks.crossJoin(F.broadcast(topics))
-    keyword = S.keyword_score(F.col("topic_stems"), F.col("title_stems"), F.col("body_stems"))
-    rows = pairs.select("item_id", "doc_id", "source", keyword.alias("keyword"))
+    pairs = chunks.select("doc_id", "source").crossJoin(F.broadcast(topics.select("item_id")))
+    rows = pairs.join(R.keyword_overlaps(topics, chunks, "item_id", "doc_id"), ["item_id", "doc_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     return rows.withColumn("coverage", S.combine_scores(F.col("keyword"), F.col("keyword"), F.lit(1.0), F.lit(0.75)))
 
 
