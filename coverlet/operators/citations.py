@@ -136,16 +136,17 @@ def resolve(citations: DataFrame, catalog: DataFrame, config: EngineConfig = DEF
     else:
         blocks = -(-n // config.catalog_rows)
         books = books.withColumn("_b", F.pmod("book_seq", F.lit(blocks)).cast("int"))
-        each = citations.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        line = F.coalesce("raw_line", F.lit(""))
+        each = citations.select(line.alias("_line")).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
         def compare(lines: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
             known = list(some.sort_values("book_seq").drop(columns="_b").itertuples(index=False, name=None))
-            keys, scores, seqs = best(lines["raw_line"], known)
-            return lines[["_id"]].assign(book_key=keys, match_score=scores, book_seq=[-1 if s is None else s for s in seqs])
+            keys, scores, seqs = best(lines["_line"], known)
+            return lines[["_line"]].assign(book_key=keys, match_score=scores, book_seq=[-1 if s is None else s for s in seqs])
 
-        tops = each.select("_id", "_b", "raw_line").groupBy("_b").cogroup(books.groupBy("_b")).applyInPandas(compare, "_id long, book_key string, match_score double, book_seq long")
-        top = tops.groupBy("_id").agg(F.max(F.struct("match_score", (-F.col("book_seq")).alias("o"), "book_key")).alias("t"))
-        found = each.where("_b = 0").join(top, "_id").select(*names, F.col("t.book_key").alias("book_key"), F.col("t.match_score").alias("match_score"))
+        tops = each.groupBy("_b").cogroup(books.groupBy("_b")).applyInPandas(compare, "_line string, book_key string, match_score double, book_seq long")
+        top = tops.groupBy("_line").agg(F.max(F.struct("match_score", (-F.col("book_seq")).alias("o"), "book_key")).alias("t"))
+        found = citations.join(top, line == F.col("_line")).select(*names, F.col("t.book_key").alias("book_key"), F.col("t.match_score").alias("match_score"))
     return found.withColumn("book_key", F.when(F.col("match_score") >= config.resolve_score, F.col("book_key")))
 
 
