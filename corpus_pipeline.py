@@ -38,7 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settle(spark)
-    return pack(docs, TOKENIZER)
+    # The stages before have filled the executors' heaps, so workers remember less.
+    return pack(docs, TOKENIZER, remembered=250_000)
 
 
 STAGES = [

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, texts_of
-from .tokens import ChunkEncoder
+from .tokens import REMEMBERED, ChunkEncoder
 
+#: Bytes of text that are encoded at one time.
+PIECE_BYTES = 6 << 20
 #: Sequences made before newly made kinds of piece are looked at.
-_ROUND = 32
+_ROUND = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -130,14 +132,15 @@ class Packer:
                     count = np.array([len(self.waiting.get(k, ())) for k in index])
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits | None = None, end_id: int = 1, remembered: int = REMEMBERED) -> DataFrame:
     """One row a piece of a packed example: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     An example is its text's ids by the tokenizer at the path `tokenizer`, then `end_id`. A null text is empty and
     gives the end alone; a null doc_id is kept. `loss_col` has the number of an example's last tokens that bear
     loss (null or no column: all of them). Examples beyond a limit are cut; with limits.cuts others may be, so
     that sequences fill up. Repeated rows are packed as often as they occur. Each task packs the rows it reads,
-    so nothing is shuffled and at most one sequence a task is left short; other columns are not read.
+    so nothing is shuffled and at most one sequence a task is left short; other columns are not read. `remembered`
+    chunks of text stay encoded in a worker: more of them take memory and save time.
     """
     limits = limits or Limits()
     if min(limits.tokens, limits.segments, limits.loss) < 1:
@@ -145,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     loss = F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = ChunkEncoder.at(tokenizer), Packer(limits)
+        encoder, packer = ChunkEncoder.at(tokenizer, remembered), Packer(limits)
         end, number = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId() << 40
 
         def rows(sequences) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE_BYTES):
             whole = []
             encoded = encoder.encode(texts_of(batch.column(1)))
             for doc_id, ids, bears in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist(), strict=True):

@@ -6,7 +6,9 @@ white-space-separated chunks in order, so each distinct chunk is encoded once wh
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from array import array
 
 import numpy as np
@@ -14,9 +16,9 @@ import numpy as np
 
 
 #: Marks that end a chunk apart: after a letter the splitter starts a new piece at them.
-_MARKS = b".,!?;:#$%&*|"
-#: Chunks that one worker remembers.
-REMEMBERED = 250_000
+_MARKS = ".,!?;:#$%&*|"
+#: Chunks that one worker remembers, about 200 bytes each.
+REMEMBERED = 1_500_000
 
 
 class ChunkEncoder:
@@ -24,7 +26,8 @@ class ChunkEncoder:
 
     _made: dict[str, ChunkEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,27 +37,35 @@ class ChunkEncoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Whether an id ends a word; empty where the vocabulary does not say.
         self.ends = np.zeros(max(vocab.values()) + 1 if suffix else 0, bool)
+        #: The same model for lower-case words that are composed already: without normaliser and pattern.
+        light = json.loads(self.tokenizer.to_str())
+        light |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.light = Tokenizer.from_str(json.dumps(light))
         if suffix:
             self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
 
     @classmethod
-    def at(cls, path: str) -> ChunkEncoder:
+    def at(cls, path: str, remembered: int = REMEMBERED) -> ChunkEncoder:
+        """The worker's encoder for a tokenizer, with room for that many chunks from now on."""
         if path not in cls._made:
             cls._made[path] = cls(path)
+        cls._made[path].remembered = remembered
         return cls._made[path]
 
     def _learn_words(self, words: list[bytes]) -> list[bytes]:
         """Learn words of letters only, many in one call, told apart by the ids that end a word; return what is left."""
         left = []
-        for start in range(0, len(words), 4000) if len(self.ends) else ():
-            part = words[start : start + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+        for start in range(0, len(words), 1000) if len(self.ends) else ():
+            part = words[start : start + 1000]
+            text = b" ".join(part).decode()
+            plain = text.isascii() or unicodedata.is_normalized("NFC", text) and text == text.lower()
+            ids = np.array((self.light if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(part):
                 left += part
                 continue
             ids, at = ids.tobytes(), ends.tolist()
-            self.ids.update((x, ids[a:b]) for x, a, b in zip(part, [0, *at[:-1]], at, strict=True))
+            self.ids.update(zip(part, [ids[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
         return left if len(self.ends) else words
 
     def _learn(self, chunks: list[bytes]) -> None:
@@ -67,25 +78,29 @@ class ChunkEncoder:
         # A special token's text has capitals or not; only texts without its beginning are lower-cased here.
         chunks = [(x if b"<|" in x else x.lower()).split() for x in texts]
         seen = set().union(*chunks)
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) > self.remembered:
             # What these texts have again is likely to come again.
             self.ids = {x: self.ids[x] for x in seen.intersection(self.ids)}
         new = seen.difference(self.ids)
+        new = list(new)
+        texts = b" ".join(new).decode("utf-8", "replace").split(" ") if new else []
         words, rest, ended = set(), [], []
-        for x in new:
-            word = x.rstrip(_MARKS)
-            if word.isalpha() or not word.isascii() and word.decode("utf-8", "replace").isalpha():
-                if word is not x and len(word) < len(x):
-                    ended.append((x, word, x[len(word) :]))
-                words.add(word)
-            else:
+        for x, text in zip(new, texts, strict=True):
+            word = text.rstrip(_MARKS)
+            if not word.isalpha():
                 rest.append(x)
+            elif (k := len(word) - len(text)) < 0:
+                ended.append((x, x[:k], x[k:]))
+                words.add(x[:k])
+            else:
+                words.add(x)
         rest += {x[2] for x in ended}.difference(self.ids)
         self._learn(rest + self._learn_words(list(words.difference(self.ids))))
         known = self.ids
-        for x, word, mark in ended:
-            known[x] = known[word] + known[mark]
-        return [b"".join(map(known.__getitem__, x)) for x in chunks]
+        known.update([(x, known[word] + known[mark]) for x, word, mark in ended])
+        # Texts look their chunks up in a small table, which stays near the processor.
+        near = {x: known[x] for x in seen}
+        return [b"".join(map(near.__getitem__, x)) for x in chunks]
 
 
 def ids_of(encoded: bytes) -> np.ndarray:
