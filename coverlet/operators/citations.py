@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -76,6 +77,13 @@ def scope_column(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([citation_scope(x) for x in lines], columns=["units", "sections"])
 
 
+def _said(line: str) -> tuple[str, str]:
+    """The title that a lower-case line says, empty without one, and what may name its authors."""
+    quoted = P.QUOTED_TITLE.search(line)
+    said = quoted or P.TITLE_BY.match(line)
+    return said[1].strip() if said else "", line[: quoted.start()] if quoted else line
+
+
 def match_score(line: str, title: str, authors: str, filename: str, config: EngineConfig = DEFAULT) -> float:
     """How well a citation fits a book, 0 to 100.
 
@@ -83,18 +91,67 @@ def match_score(line: str, title: str, authors: str, filename: str, config: Engi
     in what stands before the title. Otherwise the line against title, authors and file name together.
     """
     line, title, authors, filename = (x.lower() for x in (line, title, authors, filename))
-    quoted = P.QUOTED_TITLE.search(line)
-    said = quoted or P.TITLE_BY.match(line)
-    said_title = said[1].strip() if said else ""
+    said_title, region = _said(line)
     if not (said_title and title):
         return weighted_ratio(line, f"{title} {authors} {filename}")
-    region = line[: quoted.start()] if quoted else line
     by = partial_ratio(region, authors) if authors else 0.0
     if by < config.author_gate:
         return 0.0
     return config.title_weight * token_set_ratio(said_title, title) + config.author_weight * by
 
 
+class Shelf:
+    """Books (seq, key, title, authors, file name) in order, searched for the first one with the best match_score.
+
+    Likeness to authors is computed once for each of their names and text before a title. Names are tried in falling
+    order of it until not even an equal title could reach the best score so far, so no book that could win is left out.
+    """
+
+    def __init__(self, books: list, config: EngineConfig = DEFAULT):
+        self.config, self.books, self.region, self.ranked = config, books, None, []
+        self.titled: dict[str, dict[str, int]] = {}
+        self.texts: dict[tuple, int] = {}
+        self.untitled: dict[tuple, int] = {}
+        for at, (_, _, *texts) in enumerate(books):
+            title, authors, filename = text = tuple((x or "").lower() for x in texts)
+            self.texts.setdefault(text, at)
+            if title:
+                self.titled.setdefault(authors, {}).setdefault(title, at)
+            else:
+                self.untitled.setdefault(text, at)
+        self.likeness = lru_cache(1 << 16)(token_set_ratio)
+
+    def _authors(self, region: str) -> list[tuple[float, str]]:
+        if region != self.region:
+            found = ((partial_ratio(region, a) if a else 0.0, a) for a in self.titled)
+            self.region, self.ranked = region, sorted((x for x in found if x[0] >= self.config.author_gate), reverse=True)
+        return self.ranked
+
+    def best(self, line: str) -> tuple[float, object, object]:
+        """(score, key, seq), (0, None, None) where no book scores."""
+        line = line.lower()
+        title, region = _said(line)
+        top, place = 0.0, len(self.books)
+        for text, at in (self.untitled if title else self.texts).items():
+            score = weighted_ratio(line, " ".join(text))
+            if score > top or score == top > 0 and at < place:
+                top, place = score, at
+        for by, authors in self._authors(region) if title else ():
+            if self.config.title_weight * 100.0 + self.config.author_weight * by < top:
+                break
+            for known, at in self.titled[authors].items():
+                score = self.config.title_weight * self.likeness(title, known) + self.config.author_weight * by
+                if score > top or score == top > 0 and at < place:
+                    top, place = score, at
+        return (top, self.books[place][1], self.books[place][0]) if top else (0.0, None, None)
+
+    def find(self, lines) -> tuple[list, list, list]:
+        """Keys, scores and seqs of the lines; lines with the same text before the title are looked up together."""
+        found = {x: self.best(x) for x in sorted({x or "" for x in lines}, key=lambda x: _said(x.lower())[1])}
+        out = [found[x or ""] for x in lines]
+        return [x[1] for x in out], [x[0] for x in out], [x[2] for x in out]
+
+
 def resolve(citations: DataFrame, catalog: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """The citations (raw_line, ...) with book_key and match_score.
 
@@ -106,30 +163,17 @@ def resolve(citations: DataFrame, catalog: DataFrame, config: EngineConfig = DEF
     books = catalog.select("book_seq", "book_key", "title", "authors", "filename")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in citations.schema)
     n = books.count()
-    # A row costs a comparison with the whole catalog, so rows are spread over all tasks first.
-    citations = citations.repartition(int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def best(lines: pd.Series, known: list) -> tuple[list, list, list]:
-        out = []
-        seen: dict = {}
-        for line in lines:
-            line = line or ""
-            if line not in seen:
-                top = (0.0, None, None)
-                for seq, key, title, authors, filename in known:
-                    score = match_score(line, title or "", authors or "", filename or "", config)
-                    if score > top[0]:
-                        top = (score, key, seq)
-                seen[line] = top
-            out.append(seen[line])
-        return [x[1] for x in out], [x[0] for x in out], [x[2] for x in out]
+    # A row costs a search of the whole catalog, so rows are spread over all tasks first; texts before a title stay together.
+    region = F.substring_index(F.lower(F.coalesce("raw_line", F.lit(""))), '"', 1)
+    citations = citations.repartition(int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions")), region).sortWithinPartitions(region)
 
     if n <= config.catalog_rows:
         held = [tuple(r) for r in books.orderBy("book_seq").collect()]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shelf = Shelf(held, config)
             for batch in batches:
-                keys, scores, _ = best(batch["raw_line"], held)
+                keys, scores, _ = shelf.find(batch["raw_line"])
                 yield batch.assign(book_key=keys, match_score=scores)
 
         found = citations.mapInPandas(run, f"{kinds}, book_key string, match_score double")
@@ -141,7 +185,7 @@ def resolve(citations: DataFrame, catalog: DataFrame, config: EngineConfig = DEF
 
         def compare(lines: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
             known = list(some.sort_values("book_seq").drop(columns="_b").itertuples(index=False, name=None))
-            keys, scores, seqs = best(lines["_line"], known)
+            keys, scores, seqs = Shelf(known, config).find(lines["_line"])
             return lines[["_line"]].assign(book_key=keys, match_score=scores, book_seq=[-1 if s is None else s for s in seqs])
 
         tops = each.groupBy("_b").cogroup(books.groupBy("_b")).applyInPandas(compare, "_line string, book_key string, match_score double, book_seq long")

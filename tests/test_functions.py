@@ -127,6 +127,41 @@ def test_resolve_in_blocks(spark):
     assert {r[0]: r[2] for r in got[0]} == {k: f"B{k}" for k in range(7)} | {8: None, 9: None}
 
 
+def _by_brute_force(books, line):
+    top = (0.0, None)
+    for _, key, title, authors, filename in books:
+        score = Q.match_score(line or "", title or "", authors or "", filename or "")
+        if score > top[0]:
+            top = (score, key)
+    return (top[1] if top[0] >= EngineConfig().resolve_score else None, top[0])
+
+
+def test_resolve_like_brute_force(spark):
+    rng = random.Random(5)
+    words, names = ["large", "ring", "hot", "bolt", "blue", "of", "flow"], ["Maker1 brand#2", "Maker12 brand#21", "Maker3 brand#7", "Otto Zyx", "", None]
+    title = lambda: " ".join(rng.choices(words, k=rng.randint(1, 3)))
+    books = [(k, f"B{k}", rng.choice([title(), title(), title(), "", None]), rng.choice(names), rng.choice(["a.pdf", title(), None])) for k in range(60)]
+    lines = [f'{(rng.choice(names) or "").upper()}, "{title()}", Press, 2019.' for _ in range(60)] + [f"{title()} By {rng.choice(names)}" for _ in range(20)] + [title() for _ in range(20)] + ["", None]
+    catalog = spark.createDataFrame(books, "book_seq long, book_key string, title string, authors string, filename string")
+    cites = spark.createDataFrame(list(enumerate(lines)), "cite_seq int, raw_line string")
+    for n in (100, 7):
+        got = {r.cite_seq: (r.book_key, r.match_score) for r in Q.resolve(cites, catalog, EngineConfig(catalog_rows=n)).collect()}
+        assert got == {k: _by_brute_force(books, x) for k, x in enumerate(lines)}
+
+
+def test_citation_resolve_is_whole(spark):
+    """A part that no other part equals in name, size and brand is cited as itself."""
+    from coverlet.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{folder}/part.parquet").collect()
+    books = [(r.p_partkey, f"B{r.p_partkey}", r.p_name.title(), f"Maker{r.p_size} {r.p_brand.lower()}", f"{r.p_name}.pdf") for r in sorted(parts, key=lambda r: r.p_partkey)]
+    got = {r.cite_seq: (r.book_key, r.match_score) for r in QUERIES["citation_resolve"](spark, folder).collect()}
+    lines = {r.p_partkey: f'MAKER{r.p_size} {r.p_brand.upper()}, "{r.p_name}", Press, 2019.' for r in parts}
+    assert got == {k: _by_brute_force(books, x) for k, x in lines.items()}
+    assert any(int(key[1:]) >= 60 for key, _ in got.values() if key)
+
+
 def test_toc(spark):
     text = "CONTENTS\niv\nPreface\n1.2 Long title\nthat wraps ..... 12\nCHAPTER 3 Flow   45\n6 .... 9999\n\n" + "w " * 30 + "\nAPPENDIX TABLES 300\n7"
     rows = O.toc_entries(spark.createDataFrame([("d", text), ("e", None)], "doc_key string, text string")).orderBy("seq").collect()
