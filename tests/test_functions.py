@@ -162,6 +162,41 @@ def test_citation_resolve_is_whole(spark):
     assert any(int(key[1:]) >= 60 for key, _ in got.values() if key)
 
 
+def test_page_offset_drift_is_whole(spark):
+    """Every line of every order, against brute force."""
+    from coverlet.plans import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    orders: dict = {}
+    for r in sorted(spark.read.parquet(f"{folder}/lineitem.parquet").collect(), key=lambda r: (r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_quantity)):
+        orders.setdefault(r.l_orderkey, []).append(r)
+    want = {}
+    for order, lines in orders.items():
+        page, entries, heads = 0, [], {}
+        for seq, r in enumerate(lines):
+            page += r.l_quantity
+            entries.append((seq, f"head {r.l_partkey}", int(page)))
+            at = int(page) - 1 + order % 3 + (r.l_linenumber == 7)
+            heads[at] = max(heads.get(at, ""), f"head {r.l_partkey}")
+        last = max(p for *_, p in entries) + 1
+        heads.setdefault(last, "")
+        found, votes = {}, {}
+        for seq, title, page in entries:
+            scored = [(fuzzy.partial_ratio(title, head), -off) for off in range(-3, 46) if (head := heads.get(page - 1 + off))]
+            score, own = max((x for x in scored if x[0] > 0), default=(None, 0))
+            found[seq] = score, -own
+            if score is not None and score >= 70:
+                n, first = votes.get(-own, (0, -seq))
+                votes[-own] = n + 1, first
+        everywhere = max(((n, first, own) for own, (n, first) in votes.items()), default=(0, 0, 0))[2]
+        for seq, _, page in entries:
+            score, own = found[seq]
+            offset = own if score is not None and score >= 85 and abs(own - everywhere) <= 3 else everywhere
+            want[order, seq] = offset, page - 1 + offset if 0 <= page - 1 + offset <= max(heads) else None
+    got = {(r.doc_key, r.seq): (r.offset, r.pdf_page) for r in QUERIES["page_offset_drift"](spark, folder).collect()}
+    assert got == want
+
+
 def test_toc(spark):
     text = "CONTENTS\niv\nPreface\n1.2 Long title\nthat wraps ..... 12\nCHAPTER 3 Flow   45\n6 .... 9999\n\n" + "w " * 30 + "\nAPPENDIX TABLES 300\n7"
     rows = O.toc_entries(spark.createDataFrame([("d", text), ("e", None)], "doc_key string, text string")).orderBy("seq").collect()
