@@ -197,6 +197,17 @@ def test_page_offset_drift_is_whole(spark):
     assert got == want
 
 
+def test_every_order_is_a_unit(spark):
+    """The parsers find all orders of a customer in the texts that the queries without a cap read."""
+    from coverlet.plans import syllabus_queries as U
+
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").join(spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_orderkey as o_orderkey").distinct(), "o_orderkey")
+    want = {f"c/{r.o_custkey}.pdf": r["count"] for r in orders.groupBy("o_custkey").count().collect()}
+    got = {r.source_file: r.n_units for r in Y.subject_qa(U._texts(spark, folder).select("source_file", "text")).collect()}
+    assert got == want and max(want.values()) > 5
+
+
 def test_toc(spark):
     text = "CONTENTS\niv\nPreface\n1.2 Long title\nthat wraps ..... 12\nCHAPTER 3 Flow   45\n6 .... 9999\n\n" + "w " * 30 + "\nAPPENDIX TABLES 300\n7"
     rows = O.toc_entries(spark.createDataFrame([("d", text), ("e", None)], "doc_key string, text string")).orderBy("seq").collect()
