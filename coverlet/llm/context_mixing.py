@@ -35,8 +35,8 @@ HEAD, TAIL = 3, 3
 END = b"\n"
 #: Tokens of one chunk (its words are one dictionary), and rows of counts that travel together.
 CHUNK, BLOCK_ROWS = 1 << 21, 64
-#: Tokens of a document's first block; each later block is as long as all before it.
-FIRST = 16
+#: Tokens of a document's first block; each later block is as long as all before it, up to STRIDE.
+FIRST, STRIDE = 16, 64
 #: The predictors' starting weights (the last is the document's own counts), learning rate, gates and refinement.
 WEIGHTS = np.array([0.05, 0.35, 0.3, 0.3, 0.3, 0.3], np.float32)
 LEARN, GATES, BUCKETS, TRUST = 0.02, 3, 24, 200.0
@@ -89,18 +89,23 @@ class Mixer:
         weights = np.tile(WEIGHTS, (docs * DEPTH * GATES, 1))
         own = np.zeros((docs, SYMBOLS), np.float32)
         hits = np.zeros((2, docs * BUCKETS), np.float32)
-        begin, end = 0, FIRST
+        live, begin, end = np.arange(docs), 0, FIRST
         while True:
-            live = np.flatnonzero(sizes > begin)
+            left = sizes[live] > begin
+            if not left.all():
+                # What is learned is kept for unfinished documents only, so many short blocks of a few stay cheap.
+                n, live = len(live), live[left]
+                weights = weights.reshape(n, -1)[left].reshape(-1, k)
+                own, hits = own[left], hits.reshape(2, n, BUCKETS)[:, left].reshape(2, -1)
             if not len(live):
                 return total
             size = np.minimum(sizes[live], end) - begin
             first = np.cumsum(size) - size
             at = np.repeat(starts[live] + begin - first, size) + np.arange(size.sum())
-            doc, mine = np.repeat(live, size), symbols[at]
+            doc, mine = np.repeat(np.arange(len(live)), size), symbols[at]
             places = [r[at] * SYMBOLS for r in rows]
             row = np.repeat(np.arange(len(live)) * SYMBOLS, size)
-            ones_at, both_at = self._nodes(own[live])
+            ones_at, both_at = self._nodes(own)
             cost = np.zeros(len(at), np.float32)
             for depth in range(DEPTH):
                 node = (1 << depth) + (mine >> (DEPTH - depth))
@@ -123,12 +128,12 @@ class Mixer:
                 cost -= np.log2(np.where(bit == 1, final, 1 - final))
                 slope = bit - p
                 for i in range(k):
-                    weights[:, i] += LEARN * np.bincount(chosen, slope * inputs[i], len(weights)) / self._scale(begin)
+                    weights[:, i] += LEARN * np.bincount(chosen, slope * inputs[i], len(weights)) / self._scale(end - begin)
                 hits[0] += np.bincount(cell, bit, hits.shape[1])
                 hits[1] += np.bincount(cell, minlength=hits.shape[1])
             np.add.at(own.reshape(-1), doc * SYMBOLS + mine, np.float32(1))
             total[live] += np.add.reduceat(cost.astype(np.float64), first)
-            begin, end = end, 2 * end
+            begin, end = end, end + min(end, STRIDE)
 
     @staticmethod
     def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +146,9 @@ class Mixer:
         return ones.reshape(-1), both.reshape(-1)
 
     @staticmethod
-    def _scale(begin: int) -> float:
-        """Blocks double, so later gradients are sums of more terms."""
-        return max(1.0, begin / FIRST) ** 0.5
+    def _scale(size: int) -> float:
+        """Gradients of a longer block are sums of more terms."""
+        return max(1.0, size / FIRST) ** 0.5
 
 
 _CHUNKS = "kind int, chunk long, part int, payload binary, words array<binary>, learned array<int>, symbols array<int>"

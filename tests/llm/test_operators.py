@@ -264,6 +264,21 @@ def test_mixer_is_a_distribution():
     assert (2.0**-bits).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_mixer_is_online_in_long_texts():
+    """Deep in a long text, a new habit is learned after a few dozen tokens, not at the end of a block of thousands."""
+    from coverlet.llm.context_mixing import OFFSETS, ROWS, SYMBOLS, Mixer, node_table
+
+    mixer = Mixer(node_table(np.zeros((ROWS, SYMBOLS))))
+    symbols = np.repeat([5, 900], 4096)
+    rows = [np.full(len(symbols), o) for o in OFFSETS]
+    cost = lambda n: mixer.bits(symbols, rows, np.array([0]), np.array([n]))[0]
+    early = cost(4096 + 64) - cost(4096)
+    assert cost(8192) - cost(4096) < 16 * early
+    # Documents coded together, of any lengths, cost what they cost alone.
+    both = mixer.bits(np.tile(symbols, 2), [np.tile(r, 2) for r in rows], np.array([0, 8192]), np.array([100, 8192]))
+    assert both == pytest.approx([cost(100), cost(8192)], rel=1e-5)
+
+
 def test_scores_odd(odd, none):
     rows = score_texts(odd, F.col("lang").isNotNull()).collect()
     assert len(rows) == odd.count()
