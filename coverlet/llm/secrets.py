@@ -33,6 +33,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}", re.ASCII)
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 #: Bits a character from which a run looks random, and owners up to which a value is not a copied example.
 BITS, OWNERS = 3.0, 1
+#: Kinds whose surroundings say that a value is a secret: short or plain ones need not look random.
+NAMED = ("assign", "access")
 #: Documents with live spans up to which their list is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -82,8 +84,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: doc_id, n_assign, n_access, n_hex, base_spans, n_live, n_example, spans.
 
     `spans` is an array of (kind, start, end, live, repos, owners): every base span and each "owned" one whose
-    value at most `owners` owners have. A span is live when its value looks random and at most `owners` owners have
-    it, else an example. A null text is empty; null repositories or owners count as one of their own. Repeated rows
+    value at most `owners` owners have. A span is live when at most `owners` owners have its value, and it is of a
+    kind in NAMED or looks random, else an example. A null text is empty; null repositories or owners count as one of their own. Repeated rows
     are one repository and owner. With `values` a span also has its value's hash. Only the named columns are read.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(repo_col)).alias("repo"), F.xxhash64(F.col(owner_col)).alias("owner"))
@@ -94,7 +96,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [candidates(x.decode("utf-8", "replace")) for x in texts_of(batch.column(1))]
             base = [[s for s in x if s[0] != "owned"] for x in found]
             counts = [Counter(s[0] for s in x) for x in base]
-            told = [[{"kind": k, "start": s, "end": e, "value": value_hash(v), "random": looks_random(v)} for k, s, e, v in x] for x in found]
+            told = [[{"kind": k, "start": s, "end": e, "value": value_hash(v), "random": k in NAMED or looks_random(v)} for k, s, e, v in x] for x in found]
             columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS[:3]), pa.array([written(x) for x in base], pa.string()), pa.array(told, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_spans", "found"])
 
@@ -134,16 +136,16 @@ def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "<REDACTED>", chars_col: str = "n_chars") -> DataFrame:
     """The documents with each live span of their text replaced by `mask`; `chars_col`, if there, follows the text.
 
-    All rows and columns stay. A null text stays null, a null doc_id is left as it is. Documents without live spans
+    All rows and columns stay. A null text stays null; null doc_ids are one id. Documents without live spans
     do not pass through Python. Repeated rows are treated alike.
     """
     values = F.transform(F.filter("spans", lambda s: s.live), lambda s: s.value)
-    live = find_secrets(docs, id_col, text_col, repo_col, owner_col, values=True).where("n_live > 0 and doc_id is not null")
+    live = find_secrets(docs, id_col, text_col, repo_col, owner_col, values=True).where("n_live > 0")
     live = live.select(F.col("doc_id").alias("_id"), F.explode(values).alias("_v")).groupBy("_id").agg(F.collect_set("_v").alias("_values"))
     live = stored(live, "live")
     if live.count() <= BROADCAST_ROWS:
         live = F.broadcast(live)
-    same = docs[id_col].cast("long") == live["_id"]
+    same = docs[id_col].cast("long").eqNullSafe(live["_id"])
     calm = docs.join(live, same, "left_anti")
     hit = docs.join(live, same).drop("_id")
     schema = hit.drop("_values").schema

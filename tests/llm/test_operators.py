@@ -362,6 +362,12 @@ def test_ownership(spark):
     assert clean[14] is None
 
 
+def test_short_secrets_and_null_ids(spark):
+    rows = [(1, "password=hunter ok", "s1"), (2, "token=123456 ok", "s1"), (None, "token=a1b2c3d ok", "s2"), (3, "password=sample ok", "s1"), (4, "password=sample ok", "s2"), (None, "none", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.text for r in secrets.redact(docs).collect()) == ["<REDACTED> ok"] * 3 + ["none"] + ["password=sample ok"] * 2
+
+
 def test_secrets_odd(odd, none):
     assert secrets.find_secrets(odd).count() == odd.count()
     assert secrets.find_secrets(none).count() == 0
