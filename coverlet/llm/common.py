@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: Bytes of text that a Python worker holds as words at one time.
 WORK_BYTES = 2 << 20
@@ -58,6 +60,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def integral(docs: DataFrame, id_col: str) -> Column:
+    """A column of integer ids as long; a TypeError for ids of another type, which would not survive the cast."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"ids must be integers: {id_col} is {kind.simpleString()}; number the rows first")
+    return F.col(id_col).cast("long")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int = WORK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has about `limit` bytes of text, or one row."""
     for batch in batches:
@@ -76,7 +86,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests, one machine) a folder below /tmp/checkpoints is set first.
+    Where the setting is absent a folder below /tmp/checkpoints is set first on a local master; on others that is
+    an error.
     """
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -94,6 +105,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "/tmp/checkpoints"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root)
@@ -103,12 +116,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, fewer: int = 1) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
-    A table that is much smaller than the shuffles it comes from is written in that many times fewer files.
+    A table that is much smaller than the shuffles it comes from is dealt again, after the work, to that many times
+    fewer files.
     """
     spark = settle(df.sparkSession)
     path = shared_folder(spark, name)
     if fewer > 1:
-        df = df.coalesce(max(1, shuffle_parts(spark) // fewer))
+        df = df.repartition(max(1, shuffle_parts(spark) // fewer))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
