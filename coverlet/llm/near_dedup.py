@@ -2,9 +2,11 @@
 
 Documents with equal shingle sets are one class; only classes are sketched, banded and compared. A band's
 bucket is never expanded into pairs: each member is first compared with the bucket's leader, which joins most
-members. Buckets that share members then make a group; in each, only members outside the group's main component
-are compared with the others, in blocks of bounded size, and one link to each other component leaves a block.
-Every link is confirmed on full shingle sets.
+members. Then, in buckets whose members are still in several components, members outside the main one are compared
+with the others by signature, in blocks of bounded size, and each sends its likeliest partners of other components to
+verification: one at first, and eight times as many each round until no partner is left that may be a link and is in
+another component. So only pairs that share a bucket are compared, members that become connected drop out, and every
+link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -13,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, texts_of
+from .common import integral, pieces, stored, texts_of
 from .components import components
 from .superminhash import bands, shingle_set, signatures
 
@@ -26,8 +27,8 @@ WIDTH, SHARE, OF = 5, 75, 100
 SLOTS, BANDS, ROWS = 128, 32, 4
 #: Estimated likeness from which a candidate is verified: over five standard errors below SHARE / OF.
 LIKELY = 0.55
-#: Shingles that one comparison task holds on each side, about.
-BLOCK = 1 << 20
+#: Members of a bucket that one comparison task holds on each side, about.
+BLOCK = 2048
 #: Rows of (class, document) up to which the list of candidates is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -77,33 +78,78 @@ def _confirm(batches: Iterator[pa.RecordBatch], share: int, of: int) -> Iterator
         yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep, pa.bool_())) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
 
-def _across(share: int, of: int):
-    def run(rows: pa.Table) -> pa.Table:
-        """Links of one block of a group's outliers (side 0) to one block of its members (side 1): one for each outlier and component."""
-        left, right = (rows.filter(pc.equal(rows["side"], k)) for k in (0, 1))
-        links: list[tuple[bytes, bytes]] = []
-        if left.num_rows and right.num_rows:
-            flat = np.frombuffer(b"".join(right["shingles"].to_pylist()), np.uint64)
-            known, flat = np.unique(flat, return_inverse=True)
-            size = np.array([len(x) // 8 for x in right["shingles"].to_pylist()])
-            starts = np.cumsum(size) - size
-            nodes, comps = right["node"].to_pylist(), np.unique(right["comp"].to_pylist() + left["comp"].to_pylist(), return_inverse=True)[1]
-            mark = np.zeros(len(known) + 1, np.int32)
-            for node, comp, mine in zip(left["node"].to_pylist(), comps[len(nodes) :], left["shingles"].to_pylist(), strict=True):
-                mine = np.frombuffer(mine, np.uint64)
-                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                at = at[known[at] == mine]
-                mark[at] = 1
-                both = np.add.reduceat(mark[flat], starts)
-                mark[at] = 0
-                linked = np.flatnonzero((of * both >= share * (len(mine) + size - both)) & (comps[: len(nodes)] != comp))
-                for k in linked[np.unique(comps[linked], return_index=True)[1]]:
-                    links.append((node, nodes[k]))
-        return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows with equal first three columns, which follow each other, as one list of batches."""
+    last, waiting = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([np.asarray(batch.column(k)) for k in range(3)], 1)
+        cuts = (np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()
+        for start, stop in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            if waiting and tuple(at[start]) != last:
+                yield waiting
+                waiting = []
+            last = tuple(at[start])
+            waiting.append(batch.slice(start, stop - start))
+    if waiting:
+        yield waiting
+
+
+def _likeliest(take: int):
+    """Of each outlier of a block (side 0), the `take` members (side 1) of other components whose signatures agree most, among those that may be links.
+
+    `more` says that an outlier has further ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _blocks(batches):
+            node, comp, sig, side = ([x for p in parts for x in p.column(k).to_pylist()] for k in range(3, 7))
+            marks = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SLOTS)
+            number: dict[bytes, int] = {}
+            comps = np.fromiter((number.setdefault(x, len(number)) for x in comp), np.int64, len(comp))
+            right = np.flatnonzero(side)
+            known, theirs = marks[right], comps[right]
+            pairs, more = [], False
+            for x in np.flatnonzero(np.array(side) == 0):
+                like = np.where(theirs != comps[x], (known == marks[x]).sum(1), 0)
+                near = np.flatnonzero(like >= LIKELY * SLOTS)
+                if len(near) > take:
+                    near, more = near[np.argsort(-like[near], kind="stable")[:take]], True
+                pairs += [(node[x], node[right[k]]) for k in near]
+            if pairs:
+                a, b = zip(*(sorted(p) for p in pairs), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([more] * len(a))], ["a", "b", "more"])
 
     return run
 
 
+def _open_buckets(members: DataFrame, found: DataFrame, sig: DataFrame) -> DataFrame:
+    """Blocks of the buckets whose members are in several components: outliers on side 0, members on side 1.
+
+    Outliers are outside the component that has most of the bucket's members. Both sides are dealt to blocks of about
+    BLOCK rows, so a bucket of any size is compared in tasks of bounded size.
+    """
+    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    placed = placed.join(sizes, "key").join(sig, "node")
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    n_right, n_left = cut(F.col("n")), cut(F.col("n") - F.col("main.n"))
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_member = F.transform(every(n_left), lambda i: F.struct(i.alias("i"), block(n_right).alias("j"), F.lit(1).alias("side")))
+    as_outlier = F.transform(every(n_right), lambda j: F.struct(block(n_left).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    both = F.when(F.col("comp") == F.col("main.comp"), as_member).otherwise(F.concat(as_member, as_outlier))
+    rows = placed.select("key", F.inline(both), "node", "comp", "sig").select("key", F.col("i").cast("long"), F.col("j").cast("long"), "node", "comp", "sig", "side")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
+    """The pairs (a, b) that full sets confirm."""
+    pairs = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return stored(pairs.mapInArrow(lambda it: _confirm(it, share, of), "a binary, b binary"), "links", 16)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id of its group), kept.
 
@@ -111,43 +157,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (A-Z lower-cased, words split at ASCII white space; fewer words are one shingle). A null text is the empty
     text: it has no shingles and no links. A null doc_id takes no part in links: its component is null and it is
     kept. Repeated rows are one class; a doc_id with several texts belongs to each text's class and each of its rows is returned.
-    Banding misses a link at the very threshold with probability below 1e-5. Other columns are not read.
+    Banding misses a link at the very threshold with probability below 1e-5. Other columns are not read. Ids are
+    integers, else a TypeError.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(docs.mapInArrow(lambda it: _sketch(it, width), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"), "sketches")
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    classes = stored(classes, "classes", 4)
+    classes = stored(classes, "classes")
 
     banded = classes.select(F.explode("bands").alias("key"), "rep", "node")
     leaders = banded.groupBy("key").agg(F.min(F.struct("rep", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(leaders, "key").select("key", F.col("lead.node").alias("leader"), "node"), "members", 4)
+    members = stored(banded.join(leaders, "key").select("key", F.col("lead.node").alias("leader"), "node"), "members")
     sig = classes.select("node", "sig")
     sets = members.select("node").distinct().join(classes.select("node", "rep"), "node")
     sets = stored(sets, "wanted", 16)
     if sets.count() <= BROADCAST_ROWS:
         sets = F.broadcast(sets)
     sets = docs.join(sets, docs.doc_id == sets.rep).select("node", "text").mapInArrow(lambda it: _sets(it, width), "node binary, shingles binary")
-    sets = stored(sets.dropDuplicates(["node"]), "sets", 4)
+    sets = stored(sets.dropDuplicates(["node"]), "sets")
 
     stars = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sig.toDF("b", "t"), "b").join(sig.toDF("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(_estimate, "a binary, b binary")
-    stars = stars.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    links = stored(stars.mapInArrow(lambda it: _confirm(it, share, of), "a binary, b binary"), "links", 16)
-
-    found = components(links)
-    group = components(members.select(F.col("leader").alias("a"), F.col("node").alias("b"))).withColumnRenamed("comp", "group")
-    placed = group.join(found, "node", "left").select("group", "node", F.coalesce("comp", "node").alias("comp")).join(classes.select("node", "n"), "node")
-    sizes = placed.groupBy("group", "comp").agg(F.sum("n").alias("n")).groupBy("group").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = stored(placed.drop("n").join(sizes, "group").join(sets, "node"), "open", 4)
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    n_right, n_left = cut(F.col("n")), cut(F.col("n") - F.col("main.n"))
-    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    right = open_.select("group", every(n_left).alias("i"), block(n_right).alias("j"), "node", "comp", "shingles", F.lit(1).alias("side"))
-    left = open_.where("comp <> main.comp").select("group", block(n_left).alias("i"), every(n_right).alias("j"), "node", "comp", "shingles", F.lit(0).alias("side"))
-    more = stored(left.union(right).groupBy("group", "i", "j").applyInArrow(_across(share, of), "a binary, b binary"), "links", 16)
+    links, take = _links(stars, sets, share, of), 1
+    while True:
+        found = components(links)
+        near = _likeliest(take)
+        pairs = stored(_open_buckets(members, found, sig).mapInArrow(near, "a binary, b binary, more boolean"), "pairs", 16)
+        told = pairs.agg(F.count("*").alias("n"), F.bool_or("more").alias("more")).first()
+        if not told.n:
+            break
+        links = links.union(_links(pairs.select("a", "b").distinct(), sets, share, of))
+        if not told.more:
+            found = components(links)
+            break
+        take *= 8
 
-    found = components(links.union(more))
     named = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id")
