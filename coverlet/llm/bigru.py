@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text's segments are its words' bytes (long words in parts of SEGMENT bytes). Two GRUs read a segment from both
-ends; from both states every byte position gets a label distribution. A document's log-probabilities are the mean
-over all its positions. Equal segments have equal labels, so each distinct one is read once while it is remembered.
+A text's bytes (A-Z lower-cased, white space as single spaces) are read in windows that run across words. Two GRUs read
+a window from both ends; from both states every byte position gets a label distribution. Windows overlap by MARGIN
+bytes on each side, which give context and are labelled by the neighbouring window, so that every position of a whole
+text is labelled once. A document's log-probabilities are the mean over all its positions.
 """
 
 from __future__ import annotations
@@ -16,121 +17,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, pieces, texts_of, words_of
-
-HIDDEN, SEGMENT = 16, 24
-#: Bounds of the training sample: documents, and words of each, evenly spaced over its whole text.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 120
-STEPS, BATCH, RATE = 500, 256, 0.01
+from .common import integral, pieces, texts_of, words_of
+
+HIDDEN = 16
+#: Bytes of a window that are labelled, and those on each side of them that are context only.
+CORE, MARGIN = 112, 8
+#: Windows that are read together.
+TOGETHER = 512
+#: Bounds of the training sample: labelled documents, and bytes of their whole texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 6 << 20
+#: Bytes of a training window, windows of a batch, least number of batches, and the learning rate.
+SPAN, BATCH, STEPS, RATE = 64, 256, 300, 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def segments(words: list[bytes]) -> list[bytes]:
-    if max(map(len, words), default=0) <= SEGMENT:
-        return words
-    return [w[k : k + SEGMENT] for w in words for k in range(0, len(w), SEGMENT)]
+def stream(text: bytes) -> bytes:
+    """What the network reads of a text."""
+    return b" ".join(words_of(text))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def windows(data: list[bytes], core: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the texts, where each window begins, its labelled positions, windows of each text); outside a text are spaces."""
+    sizes = np.array([len(x) for x in data], np.int64)
+    count = -(-sizes // core)
+    flat = np.frombuffer(b"".join(b" " * margin + x + b" " * (n * core - len(x) + margin) for x, n in zip(data, count.tolist(), strict=True)), np.uint8)
+    spans = count * core + 2 * margin
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(np.cumsum(spans) - spans, count) + number * core
+    live = np.minimum(np.repeat(sizes, count) - number * core, core)
+    return flat, begin, live, count
 
 
-def _padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes by position and segment, and their lengths."""
-    size = np.array([len(p) for p in parts])
-    grid = np.zeros((len(parts), size.max()), np.uint8)
-    grid[np.arange(size.max()) < size[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
-    return grid, size
+def _gates(a: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    a *= np.float32(0.5)
+    np.tanh(a, out=a)
+    a *= np.float32(0.5)
+    a += np.float32(0.5)
+    return a
 
 
 @dataclass
 class BiGRU:
-    """weights: for each direction W (bytes x 3H), U (H x 2H), V (H x H), b (3H); then O (2H x L), c (L)."""
+    """weights, both directions first: W (2 x bytes x 3H), U (2 x H x 2H), V (2 x H x H), b (2 x 3H), O (2 x H x L); c (L)."""
 
     labels: list[str]
     weights: dict[str, np.ndarray]
 
     @classmethod
     def new(cls, labels: list[str], hidden: int = HIDDEN, seed: int = 7) -> BiGRU:
-        rng, w = np.random.default_rng(seed), {}
+        rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(hidden)).astype(np.float32)
-        for d in "fb":
-            w |= {f"{d}W": draw(256, 3 * hidden), f"{d}U": draw(hidden, 2 * hidden), f"{d}V": draw(hidden, hidden), f"{d}b": np.zeros(3 * hidden, np.float32)}
-        return cls(labels, w | {"O": draw(2 * hidden, len(labels)), "c": np.zeros(len(labels), np.float32)})
-
-    def _read(self, d: str, grid: np.ndarray, live: np.ndarray, keep: bool) -> tuple[list, list]:
-        """States after each position, in reading order; with keep also what backpropagation needs."""
-        w, H = self.weights, self.weights["fV"].shape[0]
-        W, U, V = w[f"{d}W"] + w[f"{d}b"], w[f"{d}U"], w[f"{d}V"]
-        h, states, saved = np.zeros((len(grid), H), np.float32), [], []
-        steps = range(grid.shape[1]) if d == "f" else range(grid.shape[1] - 1, -1, -1)
-        for t in steps:
-            x, on = W[grid[:, t]], live[:, t, None]
-            gates = _sigmoid(x[:, : 2 * H] + h @ U)
-            z, r = gates[:, :H], gates[:, H:]
-            c = np.tanh(x[:, 2 * H :] + (r * h) @ V)
-            new = np.where(on, h + z * (c - h), h)
-            if keep:
-                saved.append((t, h, z, r, c))
-            h = new
-            states.append(h)
-        return (states if d == "f" else states[::-1]), saved
-
-    def log_probs(self, grid: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Label log-probabilities by segment and position; zero beyond a segment's end."""
-        live = np.arange(grid.shape[1]) < size[:, None]
-        both = np.concatenate([np.stack(self._read(d, grid, live, False)[0], 1) for d in "fb"], 2)
-        y = both @ self.weights["O"] + self.weights["c"]
-        y -= y.max(2, keepdims=True)
-        y -= np.log(np.exp(y).sum(2, keepdims=True))
-        return y * live[:, :, None]
-
-    def gradients(self, grid: np.ndarray, size: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
-        w, H = self.weights, self.weights["fV"].shape[0]
-        live = np.arange(grid.shape[1]) < size[:, None]
-        runs = {d: self._read(d, grid, live, True) for d in "fb"}
-        both = np.concatenate([np.stack(runs[d][0], 1) for d in "fb"], 2)
-        y = both @ w["O"] + w["c"]
-        y -= y.max(2, keepdims=True)
+        w = {"W": draw(2, 256, 3 * hidden), "U": draw(2, hidden, 2 * hidden), "V": draw(2, hidden, hidden), "b": np.zeros((2, 3 * hidden), np.float32)}
+        return cls(labels, w | {"O": draw(2, hidden, len(labels)), "c": np.zeros(len(labels), np.float32)})
+
+    def read(self, grid: np.ndarray, saved: list | None = None) -> np.ndarray:
+        """States (position, direction, window, H) after each byte in reading order; `saved` gets what backpropagation needs."""
+        w, (T, n) = self.weights, grid.shape
+        H, kind = w["V"].shape[1], w["W"].dtype
+        table = w["W"] + w["b"][:, None]
+        states, h = np.empty((T, 2, n, H), kind), np.zeros((2, n, H), kind)
+        x, a, c, rh = np.empty((2, n, 3 * H), kind), np.empty((2, n, 2 * H), kind), np.empty((2, n, H), kind), np.empty((2, n, H), kind)
+        for t in range(T):
+            np.take(table[0], grid[t], 0, out=x[0], mode="clip")
+            np.take(table[1], grid[T - 1 - t], 0, out=x[1], mode="clip")
+            np.matmul(h, w["U"], out=a)
+            a += x[..., : 2 * H]
+            _gates(a)
+            np.multiply(a[..., H:], h, out=rh)
+            np.matmul(rh, w["V"], out=c)
+            c += x[..., 2 * H :]
+            np.tanh(c, out=c)
+            if saved is not None:
+                saved.append((h.copy(), a.copy(), c.copy()))
+            c -= h
+            c *= a[..., :H]
+            h += c
+            states[t] = h
+        return states
+
+    def log_probs(self, states: np.ndarray, margin: int = 0) -> np.ndarray:
+        """Label log-probabilities (label, position, window) of the positions that are not margin."""
+        w, (T, _, n, H) = self.weights, states.shape
+        forth, back = states[margin : T - margin, 0].reshape(-1, H), states[::-1][margin : T - margin, 1].reshape(-1, H)
+        y = np.ascontiguousarray((forth @ w["O"][0] + back @ w["O"][1] + w["c"]).T)
+        y -= y.max(0)
+        y -= np.log(np.exp(y).sum(0))
+        return y.reshape(len(self.labels), T - 2 * margin, n)
+
+    def sums(self, grid: np.ndarray, live: np.ndarray, margin: int) -> np.ndarray:
+        """Of each window the sums of label log-probabilities over its labelled positions."""
+        y = self.log_probs(self.read(grid), margin)
+        on = (np.arange(y.shape[1])[:, None] < live).astype(y.dtype)
+        return np.einsum("ltn,tn->nl", y, on)
+
+    def gradients(self, grid: np.ndarray, live: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over the first `live` positions of each window and its gradients, by backpropagation through time."""
+        w, (T, n), saved = self.weights, grid.shape, []
+        H = w["V"].shape[1]
+        states = self.read(grid, saved)
+        y = self.log_probs(states)
+        on = np.arange(T)[:, None] < live
+        places = np.arange(n)
+        loss = -(y[target, :, places].T * on).sum() / on.sum()
         p = np.exp(y)
-        p /= p.sum(2, keepdims=True)
-        n = live.sum()
-        loss = -(np.log(np.maximum(p[np.arange(len(grid))[:, None], np.arange(grid.shape[1]), target[:, None]], 1e-12)) * live).sum() / n
-        p[np.arange(len(grid))[:, None], np.arange(grid.shape[1]), target[:, None]] -= 1
-        p *= live[:, :, None] / np.float32(n)
-        g = {"O": np.einsum("btk,btl->kl", both, p), "c": p.sum((0, 1))}
-        top = p @ w["O"].T
-        for d, part in (("f", top[:, :, :H]), ("b", top[:, :, H:])):
-            U, V = w[f"{d}U"], w[f"{d}V"]
-            gW, gU, gV = np.zeros_like(w[f"{d}W"]), np.zeros_like(U), np.zeros_like(V)
-            gh = np.zeros((len(grid), H), np.float32)
-            for t, h, z, r, c in reversed(runs[d][1]):
-                on = live[:, t, None]
-                gh = gh + part[:, t] * on
-                gn = gh * on
-                gc = gn * z * (1 - c * c)
-                gz = gn * (c - h) * z * (1 - z)
-                grh = gc @ V.T
-                gr = grh * h * r * (1 - r)
-                gates = np.concatenate([gz, gr], 1)
-                gU += h.T @ gates
-                gV += (r * h).T @ gc
-                np.add.at(gW, grid[:, t], np.concatenate([gates, gc], 1) * on)
-                gh = gh * ~on + gn * (1 - z) + grh * r + gates @ U.T
-            g |= {f"{d}W": gW, f"{d}U": gU, f"{d}V": gV, f"{d}b": gW.sum(0)}
+        p[target, :, places] -= 1
+        p = (p * (on / on.sum()).astype(p.dtype)).transpose(1, 2, 0)
+        back = states[::-1, 1]
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        g["O"][0], g["O"][1], g["c"] = np.einsum("tnh,tnl->hl", states[:, 0], p), np.einsum("tnh,tnl->hl", back, p), p.sum((0, 1))
+        gh = np.zeros((2, n, H), p.dtype)
+        for t in range(T - 1, -1, -1):
+            h, a, c = saved[t]
+            z, r = a[..., :H], a[..., H:]
+            gh[0] += p[t] @ w["O"][0].T
+            gh[1] += p[T - 1 - t] @ w["O"][1].T
+            gc = gh * z * (1 - c * c)
+            grh = gc @ w["V"].transpose(0, 2, 1)
+            gates = np.concatenate([gh * (c - h) * z * (1 - z), grh * h * r * (1 - r)], 2)
+            g["U"] += h.transpose(0, 2, 1) @ gates
+            g["V"] += (r * h).transpose(0, 2, 1) @ gc
+            both = np.concatenate([gates, gc], 2)
+            np.add.at(g["W"][0], grid[t], both[0])
+            np.add.at(g["W"][1], grid[T - 1 - t], both[1])
+            gh = gh * (1 - z) + grh * r + gates @ w["U"].transpose(0, 2, 1)
+        g["b"] = g["W"].sum(1)
         return float(loss), g
 
 
-def train(parts: list[bytes], target: np.ndarray, labels: list[str], steps: int = STEPS, seed: int = 7) -> BiGRU:
-    """Adam on random batches of labelled segments; the same input gives the same network."""
+def train(texts: list[bytes], target: np.ndarray, labels: list[str], least: int = STEPS, seed: int = 7) -> BiGRU:
+    """Adam on batches of the texts' windows, in random order until each was read once, and again up to `least` batches.
+
+    The same input gives the same network.
+    """
     net, rng = BiGRU.new(labels, seed=seed), np.random.default_rng(seed)
+    flat, begin, live, count = windows(texts, SPAN, 0)
+    across = np.arange(SPAN)[:, None]
+    target = np.repeat(target, count)
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(x) for k, x in net.weights.items()}
+    steps = max(least, -(-len(live) // BATCH))
+    queue = np.concatenate([rng.permutation(len(live)) for _ in range(-(-steps * BATCH // len(live)))])
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(parts), BATCH)
-        _, g = net.gradients(*_padded([parts[k] for k in pick]), target[pick])
+        pick = queue[(step - 1) * BATCH : step * BATCH]
+        _, g = net.gradients(flat[begin[pick] + across], live[pick], target[pick])
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, x in g.items():
             m[k] += 0.1 * (x - m[k])
@@ -139,93 +170,79 @@ def train(parts: list[bytes], target: np.ndarray, labels: list[str], steps: int
     return net
 
 
-class Labeller:
-    """Sums of label log-probabilities by segment, remembered up to CACHE_ENTRIES segments."""
-
-    def __init__(self, net: BiGRU):
-        self.net, self.at, self.sums, self.used = net, {}, np.zeros((1 << 14, len(net.labels)), np.float32), 0
-
-    def rows(self, parts: list[bytes]) -> np.ndarray:
-        new = sorted(set(parts).difference(self.at), key=len)
-        if self.used + len(new) > CACHE_ENTRIES and self.used:
-            self.at.clear()
-            self.used, new = 0, sorted(set(parts), key=len)
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            while self.used + len(some) > len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.sums[self.used : self.used + len(some)] = self.net.log_probs(*_padded(some)).sum(1)
-            self.at.update(zip(some, range(self.used, self.used + len(some)), strict=True))
-            self.used += len(some)
-        return np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
-
-    def pooled(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """The likeliest label and its probability; UNKNOWN and 0 for a text without a letter."""
-        parts = [segments(words_of(x)) for x in texts]
-        rows, out = self.rows([p for x in parts for p in x]), []
-        ends = np.cumsum([len(x) for x in parts])
-        for text, x, end in zip(texts, parts, ends, strict=True):
-            if not x or not _LETTER.search(text.decode("utf-8", "replace")):
-                out.append((UNKNOWN, 0.0))
-                continue
-            y = self.sums[rows[end - len(x) : end]].sum(0, dtype=np.float64) / sum(map(len, x))
-            p = np.exp(y - y.max())
-            out.append((self.net.labels[int(p.argmax())], float(p.max() / p.sum())))
-        return out
+def pooled(net: BiGRU, texts: list[bytes]) -> list[tuple[str, float]]:
+    """The likeliest label of each text and its probability; UNKNOWN and 0 for a text without a letter."""
+    data = [stream(x) for x in texts]
+    sums = np.zeros((len(texts), len(net.labels)))
+    flat, begin, live, count = windows(data, CORE, MARGIN)
+    across = np.arange(CORE + 2 * MARGIN)[:, None]
+    of = np.repeat(np.arange(len(texts)), count)
+    for start in range(0, len(live), TOGETHER):
+        some = slice(start, start + TOGETHER)
+        np.add.at(sums, of[some], net.sums(flat[begin[some] + across], live[some], MARGIN))
+    out = []
+    for text, x, y in zip(texts, data, sums, strict=True):
+        if not x or not _LETTER.search(text.decode("utf-8", "replace")):
+            out.append((UNKNOWN, 0.0))
+            continue
+        y = y / len(x)
+        p = np.exp(y - y.max())
+        out.append((net.labels[int(p.argmax())], float(p.max() / p.sum())))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", held_out=None) -> BiGRU | None:
-    """A network learned from SAMPLE_DOCS labelled documents, those of the least id hash, SAMPLE_WORDS words of each.
+    """A network learned from whole texts of labelled documents: those of the least id hash, at most SAMPLE_DOCS of them
+    and as many as fit in SAMPLE_BYTES (but one at least).
 
-    Rows with a null text or label, and those where the condition `held_out` holds, are not used. Without any
-    labelled row there is no network.
+    Rows with a null text or label, and those where the condition `held_out` holds, are not used; null or repeated ids
+    are told apart by their text's hash and count one each. Without any labelled row that has a word there is no network.
     """
     seen = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     if held_out is not None:
-        seen = seen.where(~held_out)
-    seen = seen.select(F.xxhash64(F.col(id_col).cast("long")).alias("rank"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    ranks = [r[0] for r in seen.select("rank").orderBy("rank").limit(SAMPLE_DOCS).collect()]
-    if not ranks:
+        seen = seen.where(~F.coalesce(held_out, F.lit(False)))
+    seen = seen.select(F.xxhash64(integral(docs, id_col)).alias("rank"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    first = seen.select("rank", "tie", F.octet_length("text").alias("n")).orderBy("rank", "tie").limit(SAMPLE_DOCS).collect()
+    if not first:
         return None
-
-    def some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [segments(words_of(x)) for x in texts_of(batch.column(1))]
-            words = [x[:: max(1, len(x) // SAMPLE_WORDS)][: 2 * SAMPLE_WORDS] for x in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary())), batch.column(2)], ["rank", "words", "label"])
-
-    rows = seen.where(F.col("rank") <= ranks[-1]).mapInArrow(some_words, "rank long, words array<binary>, label string").collect()
-    rows.sort(key=lambda r: (r["rank"], r["label"], r["words"]))
-    labels = sorted({r["label"] for r in rows})
-    parts = [bytes(w) for r in rows for w in r["words"]]
-    target = np.array([labels.index(r["label"]) for r in rows for _ in r["words"]], np.int64)
-    return train(parts, target, labels) if parts else None
+    take = max(1, int(np.searchsorted(np.cumsum([r.n for r in first]), SAMPLE_BYTES, "right")))
+    rows = seen.where(F.col("rank") <= first[take - 1].rank).orderBy("rank", "tie", "label").limit(take).collect()
+    told = [(stream(r.text.encode()), r.label) for r in rows]
+    told = [x for x in told if x[0]]
+    labels = sorted({x[1] for x in told})
+    return train([x[0] for x in told], np.array([labels.index(x[1]) for x in told]), labels) if told else None
 
 
 def label_languages(docs: DataFrame, net: BiGRU | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, lang_pred, score (0 to 1). Only the text decides.
 
     UNKNOWN with score 0 for a null text, one without a letter, and where there is no network. Repeated rows and
-    null doc_ids are labelled like others.
+    null doc_ids are labelled like others. Ids are integers, else a TypeError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net) if net else None
         for batch in pieces(batches):
             texts = texts_of(batch.column(1))
-            found = labeller.pooled(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
+            found = pooled(net, texts) if net else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_recognised(docs: DataFrame, net: BiGRU | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The documents whose language is recognised with a probability of at least `least`; columns stay as they are."""
+    """The documents whose language is recognised with a probability of at least `least`; columns stay as they are.
+
+    Null texts and those without a letter go. Without a network no language is known, so none is rejected: only those
+    texts go. Repeated rows are treated alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(net) if net else None
         for batch in pieces(batches, text_col):
-            found = labeller.pooled(texts_of(batch.column(batch.schema.get_field_index(text_col)))) if labeller else []
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found] or [False] * batch.num_rows))
+            texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
+            if net:
+                keep = [x[0] != UNKNOWN and x[1] >= least for x in pooled(net, texts)]
+            else:
+                keep = [bool(_LETTER.search(x.decode("utf-8", "replace"))) for x in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
