@@ -185,7 +185,7 @@ def test_contaminated_shuffled(spark, monkeypatch):
     docs, items = [(1, "x a b c d e f g y"), (None, "a b c d e f g"), (2, "a b c")], [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "b c d e f"), (3, None), (4, "...")]
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(str, contaminated(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert got == sorted(map(str, contaminated(docs, items).collect()))
     assert len(got) == 4
 
