@@ -1,8 +1,8 @@
 """Secrets in texts, told apart by who owns them across the corpus.
 
 Candidates are found by fixed patterns. The hash of each candidate's value is counted over the whole corpus by
-distinct repositories and distinct owners: a value that many owners have is a copied example, one that a single
-owner has and that looks random is probably live. Owner-specific random-looking values beside the fixed patterns
+distinct repositories and distinct owners: a value that several owners or very many repositories have is a copied
+example, one that a single owner has in few and that looks random is probably live. Owner-specific random-looking values beside the fixed patterns
 are added as spans of kind "owned".
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, texts_of
+from .common import integral, pieces, stored, texts_of
 
 # The patterns of the base kinds, and the least length of what counts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -31,12 +31,14 @@ KINDS = ("assign", "access", "hex", "owned")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}", re.ASCII)
 #: Runs of at least LEAST["hex"]: as a run is matched from its start, the same spans as HEX with shorter ones dropped.
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
-#: Bits a character from which a run looks random, and owners up to which a value is not a copied example.
-BITS, OWNERS = 3.0, 1
+#: Bits a character from which a run looks random, and owners and repositories up to which a value is not a copied
+#: example: what one owner has in more repositories is a template of theirs.
+BITS, OWNERS, REPOS = 3.0, 1, 100
 #: Kinds whose surroundings say that a value is a secret: short or plain ones need not look random.
 NAMED = ("assign", "access")
-#: Documents with live spans up to which their list is broadcast; beyond it is shuffled.
-BROADCAST_ROWS = 200_000
+#: Documents with live spans, or values that many repositories have, up to which their list is broadcast (about 30 and
+#: 24 bytes a row); beyond it is shuffled, values dealt to SALTS places each.
+BROADCAST_ROWS, SALTS = 200_000, 32
 
 
 def value_hash(value: str) -> int:
@@ -80,15 +82,16 @@ def written(spans) -> str:
 _FOUND = "array<struct<kind:string,start:int,end:int,value:long,random:boolean>>"
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", owners: int = OWNERS, values: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", owners: int = OWNERS, repos: int = REPOS, values: bool = False) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, base_spans, n_live, n_example, spans.
 
     `spans` is an array of (kind, start, end, live, repos, owners): every base span and each "owned" one whose
-    value at most `owners` owners have. A span is live when at most `owners` owners have its value, and it is of a
-    kind in NAMED or looks random, else an example. A null text is empty; null repositories or owners count as one of their own. Repeated rows
-    are one repository and owner. With `values` a span also has its value's hash. Only the named columns are read.
+    value is live. A span is live when at most `owners` owners and `repos` repositories have its value, and it is of a
+    kind in NAMED or looks random, else an example. A null text is empty; null repositories or owners count as one of
+    their own. Repeated rows are one repository and owner. With `values` a span also has its value's hash. Only the
+    named columns are read. Ids are integers, else a TypeError.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(repo_col)).alias("repo"), F.xxhash64(F.col(owner_col)).alias("owner"))
+    named = docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(repo_col)).alias("repo"), F.xxhash64(F.col(owner_col)).alias("owner"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("random", pa.bool_())]))
@@ -104,8 +107,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.inline("found"))
     per = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    held = per.groupBy("value").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
-    judged = each.join(held, "value").withColumn("live", F.col("random") & (F.col("owners") <= owners))
+    held = stored(per.groupBy("value").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners")), "values", 16)
+    wide = held.where(F.col("repos") > repos)
+    if wide.count() <= BROADCAST_ROWS:
+        # Values that many repositories have would be hot keys; the others occur in few rows.
+        wide = F.broadcast(wide)
+        rare = each.join(wide.select("value"), "value", "left_anti").join(held.where(F.col("repos") <= repos), "value")
+        judged = each.join(wide, "value").unionByName(rare)
+    else:
+        dealt = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(dealt, ["value", "salt"]).drop("salt")
+    judged = judged.withColumn("live", F.col("random") & (F.col("owners") <= owners) & (F.col("repos") <= repos))
     judged = judged.where("kind <> 'owned' or live").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.array_position(F.lit(list(KINDS)), F.col("kind")).alias("rank"), "kind", "end", "live", "repos", "owners", "value"))).alias("spans"))
     out = rows.drop("found", "repo", "owner").join(judged, "row", "left").drop("row")
     spans = F.transform(F.coalesce("spans", F.array().cast(judged.schema["spans"].dataType)), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.live.alias("live"), s.repos.alias("repos"), s.owners.alias("owners"), *([s.value.alias("value")] if values else [])))
@@ -137,18 +149,20 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     """The documents with each live span of their text replaced by `mask`; `chars_col`, if there, follows the text.
 
     All rows and columns stay. A null text stays null; null doc_ids are one id. Documents without live spans
-    do not pass through Python. Repeated rows are treated alike.
+    do not pass through Python. Repeated rows are treated alike. Ids are integers, else a TypeError.
     """
+    free = lambda name: name if name not in docs.columns else free(f"{name}_")
+    at_id, at_values = free("_id"), free("_values")
     values = F.transform(F.filter("spans", lambda s: s.live), lambda s: s.value)
     live = find_secrets(docs, id_col, text_col, repo_col, owner_col, values=True).where("n_live > 0")
-    live = live.select(F.col("doc_id").alias("_id"), F.explode(values).alias("_v")).groupBy("_id").agg(F.collect_set("_v").alias("_values"))
+    live = live.select(F.col("doc_id").alias(at_id), F.explode(values).alias("_v")).groupBy(at_id).agg(F.collect_set("_v").alias(at_values))
     live = stored(live, "live")
     if live.count() <= BROADCAST_ROWS:
         live = F.broadcast(live)
-    same = docs[id_col].cast("long").eqNullSafe(live["_id"])
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(at_id))
     calm = docs.join(live, same, "left_anti")
-    hit = docs.join(live, same).drop("_id")
-    schema = hit.drop("_values").schema
+    hit = docs.join(live, same).drop(at_id)
+    schema = hit.drop(at_values).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
