@@ -72,17 +72,23 @@ class ShardStore:
         version, content = self.manifest.read(version)
         return version, [Shard(**s) for s in content.get("shards", [])]
 
-    def _described(self, folder: str) -> list[Shard]:
-        """The files of a folder that was just written."""
-        rows = self.spark.read.parquet(folder).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").count()
+    def _described(self, folder: str, schema: StructType) -> list[Shard]:
+        """The files with rows of a folder that was just written."""
+        rows = self.spark.read.schema(schema).parquet(folder).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").count()
         return [Shard(*r) for r in sorted(rows.collect())]
 
     def append(self, rows: DataFrame, shard_rows: int = ARRIVAL_ROWS) -> int:
-        """Write an arrival as shards of at most `shard_rows` rows; each task writes what it reads. The new version."""
+        """Write an arrival as shards of at most `shard_rows` rows; each task writes what it reads. The new version.
+
+        Rows are kept as they are: nulls, empty and repeated rows too. An empty frame adds a version without shards of its
+        own. All arrivals have the columns of the first; other columns are an error.
+        """
+        version, old = self.shards()
+        if version and self.schema().simpleString() != rows.schema.simpleString():
+            raise ValueError(f"an arrival has the columns {rows.schema.simpleString()}, the shards {self.schema().simpleString()}")
         folder = f"{self.root}/arrival-{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", shard_rows).parquet(folder)
-        version, old = self.shards()
-        return self.manifest.commit(version + 1, {"shards": [asdict(s) for s in old + self._described(folder)], "schema": rows.schema.json()})
+        return self.manifest.commit(version + 1, {"shards": [asdict(s) for s in old + self._described(folder, rows.schema)], "schema": rows.schema.json()})
 
     def compact(self, target: int = TARGET_BYTES, least_runs: int = LEAST_RUNS) -> int:
         """Merge until no tier has runs to merge; the latest version. No row is lost or changed: counts are compared before a commit."""
@@ -98,7 +104,7 @@ class ShardStore:
                 folder = f"{self.root}/run-{uuid.uuid4().hex}"
                 merged = [self.spark.read.schema(schema).parquet(*(s.path for s in g)).coalesce(1) for g in some]
                 reduce(DataFrame.union, merged).write.parquet(folder)
-                made += self._described(folder)
+                made += self._described(folder, schema)
             gone = {s.path for g in groups for s in g}
             if sum(s.rows for s in made) != sum(s.rows for g in groups for s in g):
                 raise RuntimeError("a merge changed the number of rows")
@@ -122,14 +128,17 @@ class ShardStore:
     def read(self, version: int | None = None, shard_col: str = "shard") -> DataFrame:
         """The rows of a version and a struct (id, bytes, rows, tier, version) of each row's shard.
 
-        The struct is named `shard_col`, with underscores added while the rows have a column of that name.
+        The struct is named `shard_col`, with underscores added while the rows have a column of that name. A version
+        into which only empty frames were appended has no rows; before the first append there is no schema: a ValueError.
         """
         version, shards = self.shards(version)
-        if not shards:
+        if not version:
             raise ValueError("nothing was appended")
         schema = self.schema()
         free = lambda name: name if name not in schema.names else free(f"{name}_")
         at, name = free("_shard_path"), free(shard_col)
+        if not shards:
+            return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("struct<id:long,bytes:long,rows:long,tier:int,version:long>"))
         paths = sorted(shards, key=lambda s: s.path)
         told = self.spark.createDataFrame([(s.path, (k, s.bytes, s.rows, s.tier, version)) for k, s in enumerate(paths)], f"`{at}` string, `{name}` struct<id:long,bytes:long,rows:long,tier:int,version:long>")
         if len(shards) <= BROADCAST_SHARDS:
