@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pieces, shuffle_parts, texts_of
+from .common import U64, integral, mix, pieces, shuffle_parts, texts_of
 
 COUNT, LENGTH, KMER = 48, 2, 8
 _ODD = mix(np.arange(1, 200, dtype=U64)) | U64(1)
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [x.decode("utf-8", "replace") for x in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([fingerprint(sketch(x)) for x in texts], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,10 +87,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows of one doc_id follow each other in order of their text; null doc_ids come first. A null text is empty.
     Ranges of doc_id are dealt to the tasks together with the one row that follows each range, so texts are
-    shuffled once and no task sees more than its range. Other columns are not read.
+    shuffled once and no task sees more than its range. Other columns are not read. Ids are integers, else a TypeError.
     """
     least = -(1 << 63)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key = F.coalesce("doc_id", F.lit(least))
     n = shuffle_parts(docs.sparkSession)
     found = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, [(k + 1) / n for k in range(n - 1)] or [0.5], F.lit(max(10_000, 10 * n))).alias("at")).first()

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts_of
+from .common import integral, pieces, texts_of
 from .tokens import REMEMBERED, ChunkEncoder
 
 #: Bytes of text that are encoded at one time.
@@ -68,17 +68,13 @@ class Packer:
         self.waiting: dict[tuple[int, int], list[Piece]] = {}
         self.tokens = 0
 
-    def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        """Take an example; whole sequences that it fills alone leave at once."""
-        while piece.longest(self.limits.tokens, self.limits.loss) < len(piece):
-            first, piece = piece.cut(piece.longest(self.limits.tokens, self.limits.loss))
-            if len(first) == self.limits.tokens:
-                yield [first]
-            else:
-                self._wait(first)
-        if len(piece) == self.limits.tokens:
-            yield [piece]
-        elif len(piece):
+    def add(self, piece: Piece) -> None:
+        """Take an example, cut to what a sequence may hold. None leaves alone: a full sequence without loss-bearing
+        tokens would leave too few others beside those that bear loss."""
+        while (fits := piece.longest(self.limits.tokens, self.limits.loss)) < len(piece):
+            first, piece = piece.cut(fits)
+            self._wait(first)
+        if len(piece):
             self._wait(piece)
 
     def _wait(self, piece: Piece) -> None:
@@ -110,7 +106,9 @@ class Packer:
                     at = int(gain.argmax())
                     size = 0
                     if gain[at] < 0:
-                        at = int(np.where(count > 0, demand[:, 0], -1).argmax())
+                        # None fits whole: cut the one that fills most, of equals the longest.
+                        room = np.minimum(left[0], demand[:, 0] - demand[:, 2] + left[2])
+                        at = int(np.where(count > 0, room + demand[:, 0] / (1 + full[0]), -1).argmax())
                         if not self.limits.cuts or not count[at]:
                             break
                         size = self.waiting[kinds[at]][-1].longest(int(left[0]), int(left[2]))
@@ -132,15 +130,15 @@ class Packer:
                     count = np.array([len(self.waiting.get(k, ())) for k in index])
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits | None = None, end_id: int = 1, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits | None = None, end_id: int = 1, remembered: int = REMEMBERED, loss_share: float = 1.0) -> DataFrame:
     """One row a piece of a packed example: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     An example is its text's ids by the tokenizer at the path `tokenizer`, then `end_id`. A null text is empty and
     gives the end alone; a null doc_id is kept. `loss_col` has the number of an example's last tokens that bear
-    loss (null or no column: all of them). Examples beyond a limit are cut; with limits.cuts others may be, so
+    loss (null or no column: the share `loss_share` of them, rounded down). Examples beyond a limit are cut; with limits.cuts others may be, so
     that sequences fill up. Repeated rows are packed as often as they occur. Each task packs the rows it reads,
     so nothing is shuffled and at most one sequence a task is left short; other columns are not read. `remembered`
-    chunks of text stay encoded in a worker: more of them take memory and save time.
+    chunks of text stay encoded in a worker: more of them take memory and save time. Ids are integers, else a TypeError.
     """
     limits = limits or Limits()
     if min(limits.tokens, limits.segments, limits.loss) < 1:
@@ -164,13 +162,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in pieces(batches, limit=PIECE_BYTES):
-            whole = []
             encoded = encoder.encode(texts_of(batch.column(1)))
             for doc_id, ids, bears in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist(), strict=True):
                 n = len(ids) // 4 + 1
-                whole += packer.add(Piece(doc_id, 0, ids + end, n if bears is None else min(n, max(0, bears)), n))
-            yield from rows(whole)
+                packer.add(Piece(doc_id, 0, ids + end, int(n * loss_share) if bears is None else min(n, max(0, bears)), n))
             yield from rows(packer.sequences(limits.tokens * 64))
         yield from rows(packer.sequences(1))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss")).mapInArrow(run, SCHEMA)
+    return docs.select(integral(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss")).mapInArrow(run, SCHEMA)
