@@ -20,8 +20,6 @@ BATCH_BYTES = 8 << 20
 #: Entries that a worker-wide cache may hold before it is emptied; hashes are cheap to make again.
 CACHE_ENTRIES = 120_000
 HASH_ENTRIES = 50_000
-#: A word: a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
-WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 U64 = np.uint64
 

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 from . import bigru, secrets
 from .chat import END, START, chains, digests, format_trees
-from .common import WORD_PATTERN, shared_folder, stored, table
+from .common import shared_folder, stored, table
 from .context_mixing import score_texts
 from .decontaminate import contaminated
 from .near_dedup import near_duplicates
 from .order_minhash import edited_fingerprints
-from .packing import pack
+from .packing import Limits, pack
 from .sharding import ShardStore
-from .token_counts import TokenTotals, deletes, inserts, revisions
+from .token_counts import TokenTotals, deletes, inserts, revisions, token_counts
 
 #: Where the public tokenizer of the packing query lies.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Ranks of the second tokenizer of the counting query.
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Limits of a packed sequence, and the share of an example's last tokens that bear loss.
+LIMITS, LOSS_SHARE = Limits(tokens=2048, segments=256, loss=1536), 0.5
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,17 +70,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' words by two tokenizers; then the first one's counts get an end token, and documents of
-    fewer than five of its words leave. The third batch comes twice."""
-    docs = table(spark, sf_dir, "documents")
-    count = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
-    counts = stored(docs.select("source", "lang", count(WORD_PATTERN).alias("words"), count("[\\p{L}\\p{N}]+").alias("runs")), "counts")
-    of = lambda version, tokens, *more: counts.select("source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("tokens"), *more, "words")
-    words, runs = F.col("words"), F.col("runs")
-    revised = revisions(of("words-1", words + 1, words.alias("was")))
-    gone = deletes(of("words-1", words + 1).union(of("runs-1", runs)).where(words < 5))
+    """All documents' ids by two public tokenizers; then the first one's counts get an end token, and documents of
+    fewer than five of its ids leave. The third batch comes twice."""
+    counts = stored(token_counts(table(spark, sf_dir, "documents"), TOKENIZER, BYTE_RANKS, public_tokenizers.PATTERN), "counts")
+    words, parts = F.col("word_tokens"), F.col("byte_tokens")
+    of = lambda version, tokens, *more: counts.select("source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("tokens"), *more, "word_tokens")
+    revised = revisions(of("word_bpe_49k", words + 1, words.alias("was")))
+    gone = deletes(of("word_bpe_49k", words + 1).union(of("byte_bpe_50k", parts)).where(words < 5))
     totals = TokenTotals(spark, shared_folder(spark, "totals"))
-    for batch, deltas in (("words", inserts(of("words-1", words))), ("runs", inserts(of("runs-1", runs))), ("end", revised), ("end", revised), ("short", gone)):
+    for batch, deltas in (("word", inserts(of("word_bpe_49k", words))), ("byte", inserts(of("byte_bpe_50k", parts))), ("end", revised), ("end", revised), ("short", gone)):
         totals.commit(batch, deltas)
     return totals.read()
 
@@ -89,7 +91,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    """Each document stands for an instruction example: its first half is the prompt, its last half bears loss."""
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER, limits=LIMITS, loss_share=LOSS_SHARE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -120,15 +123,6 @@ doc AS ({_SQL_SHINGLES.format(id="doc_id", table="documents")}),
 found AS (SELECT doc.id AS doc_id, item.id AS item_id, count(*) AS k FROM doc JOIN item USING (shingle) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(k AS INTEGER) AS n_found, CAST(k AS DOUBLE) / n AS containment
 FROM found JOIN size ON item_id = size.id WHERE k >= ceil(0.75 * n)
-""",
-    "op8_token_counts": """
-WITH doc AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
-    len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) AS runs FROM documents),
-each AS (SELECT source, lang, 'words-1' AS tokenizer_version, words, words + 1 AS tokens FROM doc
-    UNION ALL SELECT source, lang, 'runs-1', words, runs FROM doc)
-SELECT source, lang, tokenizer_version, CAST(count_if(words >= 5) AS BIGINT) AS n_docs,
-    CAST(coalesce(sum(tokens) FILTER (words >= 5), 0) AS BIGINT) AS n_tokens
-FROM each GROUP BY ALL
 """,
     "op4_near_dedup": r"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

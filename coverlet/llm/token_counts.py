@@ -8,11 +8,15 @@ batch's name become visible together as the manifest's next version. A batch tha
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pieces, texts_of
 from .manifest import Manifest
+from .tokens import ByteEncoder, ChunkEncoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -33,6 +37,24 @@ def revisions(counts: DataFrame) -> DataFrame:
     return counts.select(*KEYS, F.lit(0).cast("long").alias("docs"), change.cast("long").alias("tokens"))
 
 
+def token_counts(docs: DataFrame, word_tokenizer: str, byte_ranks: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The rows (source, lang) with each text's ids by two tokenizers: word_tokens and byte_tokens.
+
+    `word_tokenizer` is the path of a lower-casing word tokenizer, `byte_ranks` that of a byte vocabulary's ranks, which
+    splits by `pattern`. A null text has no ids; repeated rows are counted each; other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts = ChunkEncoder.at(word_tokenizer, 250_000), ByteEncoder.at(byte_ranks, pattern)
+        for batch in pieces(batches, limit=4 << 20):
+            texts = texts_of(batch.column(2))
+            counts = ([len(x) // 4 for x in words.encode(texts)], [parts.count(x) for x in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts)], ["source", "lang", "word_tokens", "byte_tokens"])
+
+    named = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return named.mapInArrow(run, "source string, lang string, word_tokens long, byte_tokens long")
+
+
 class TokenTotals:
     """Totals below `root`, a folder that all executors share. Null sources, languages and versions are keys."""
 
@@ -45,7 +67,11 @@ class TokenTotals:
         return self.spark.read.schema(TOTALS).parquet(content["path"]) if content else self.spark.createDataFrame([], TOTALS)
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch's deltas once; False where a batch of that name is in the totals already."""
+        """Add a batch's deltas once; False where a batch of that name is in the totals already.
+
+        Deltas are rows (KEYS, docs, tokens) as inserts, deletes and revisions make them; repeated rows count each time,
+        a null key is a key of its own. A batch without rows changes no total and is committed all the same.
+        """
         version, content = self.manifest.read()
         if batch in content.get("batches", []):
             return False

@@ -6,6 +6,7 @@ white-space-separated chunks in order, so each distinct chunk is encoded once wh
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import unicodedata
@@ -13,8 +14,6 @@ from array import array
 
 import numpy as np
 
-
-
 #: Marks that end a chunk apart: after a letter the splitter starts a new piece at them.
 _MARKS = ".,!?;:#$%&*|"
 #: Chunks that one worker remembers, about 200 bytes each.
@@ -87,7 +86,8 @@ class ChunkEncoder:
         words, rest, ended = set(), [], []
         for x, text in zip(new, texts, strict=True):
             word = text.rstrip(_MARKS)
-            if not word.isalpha():
+            # Lower case can end in a mark that joins what follows (U+0130): such words are read whole.
+            if not word.isalpha() or not (word.isascii() or word.lower().isalpha()):
                 rest.append(x)
             elif (k := len(word) - len(text)) < 0:
                 ended.append((x, x[:k], x[k:]))
@@ -103,5 +103,29 @@ class ChunkEncoder:
         return [b"".join(map(near.__getitem__, x)) for x in chunks]
 
 
+class ByteEncoder:
+    """Counts the ids of whole texts by a byte vocabulary's ranks; strings of special tokens are ordinary text."""
+
+    _made: dict[tuple[str, str], ByteEncoder] = {}
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def at(cls, path: str, pattern: str) -> ByteEncoder:
+        """The worker's encoder of a vocabulary."""
+        if (path, pattern) not in cls._made:
+            cls._made[path, pattern] = cls(path, pattern)
+        return cls._made[path, pattern]
+
+    def count(self, text: bytes) -> int:
+        """Ids of a text."""
+        return len(self.encoding.encode_ordinary(text.decode("utf-8", "replace")))
+
+
 def ids_of(encoded: bytes) -> np.ndarray:
     return np.frombuffer(encoded, "<u4")
