@@ -14,7 +14,7 @@ from coverlet.llm.common import settle, stored, table
 from coverlet.llm.decontaminate import without_contaminated
 from coverlet.llm.near_dedup import deduplicated
 from coverlet.llm.packing import pack
-from coverlet.llm.queries import TOKENIZER
+from coverlet.llm.queries import LIMITS, LOSS_SHARE, TOKENIZER
 from coverlet.llm.secrets import redact
 
 
@@ -39,7 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settle(spark)
     # The stages before have filled the executors' heaps, so workers remember less.
-    return pack(docs, TOKENIZER, remembered=250_000)
+    return pack(docs, TOKENIZER, limits=LIMITS, loss_share=LOSS_SHARE, remembered=250_000)
 
 
 STAGES = [
