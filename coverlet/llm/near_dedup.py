@@ -3,10 +3,10 @@
 Documents with equal shingle sets are one class; only classes are sketched, banded and compared. A band's
 bucket is never expanded into pairs: each member is first compared with the bucket's leader, which joins most
 members. Then, in buckets whose members are still in several components, members outside the main one are compared
-with the others by signature, in blocks of bounded size, and each sends its likeliest partners of other components to
-verification: one at first, and eight times as many each round until no partner is left that may be a link and is in
-another component. So only pairs that share a bucket are compared, members that become connected drop out, and every
-link is confirmed on full shingle sets.
+with the others by signature, in blocks of bounded size: each sends its likeliest partner of another component to
+verification, and after that all its likely partners that are still in other components. Where these are more than a
+few, no pairs are made: their sets meet in blocks of bounded size, and one link an outlier and component leaves a
+block. So only pairs that share a bucket are compared, and every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import integral, pieces, stored, texts_of
@@ -27,8 +27,10 @@ WIDTH, SHARE, OF = 5, 75, 100
 SLOTS, BANDS, ROWS = 128, 32, 4
 #: Estimated likeness from which a candidate is verified: over five standard errors below SHARE / OF.
 LIKELY = 0.55
-#: Members of a bucket that one comparison task holds on each side, about.
-BLOCK = 2048
+#: Members of a bucket, and shingles, that one comparison holds on each side, about.
+BLOCK, SHINGLES = 2048, 1 << 20
+#: Likely partners up to which a class's pairs leave a block; with more it is compared inside a task.
+TAKE = 8
 #: Rows of (class, document) up to which the list of candidates is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -96,10 +98,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
         yield waiting
 
 
-def _likeliest(take: int):
-    """Of each outlier of a block (side 0), the `take` members (side 1) of other components whose signatures agree most, among those that may be links.
-
-    `more` says that an outlier has further ones.
+def _screened(take: int):
+    """Pairs (kind 0) of each outlier of a block (side 0) with its `take` likeliest members (side 1) of other components,
+    among those that may be links. Above 1, outliers with more than `take` such members give no pairs: they and those
+    members (kind 1: key, a, side) are to be compared by their sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,16 +112,54 @@ def _likeliest(take: int):
             comps = np.fromiter((number.setdefault(x, len(number)) for x in comp), np.int64, len(comp))
             right = np.flatnonzero(side)
             known, theirs = marks[right], comps[right]
-            pairs, more = [], False
+            rows, members = [], set()
             for x in np.flatnonzero(np.array(side) == 0):
                 like = np.where(theirs != comps[x], (known == marks[x]).sum(1), 0)
                 near = np.flatnonzero(like >= LIKELY * SLOTS)
-                if len(near) > take:
-                    near, more = near[np.argsort(-like[near], kind="stable")[:take]], True
-                pairs += [(node[x], node[right[k]]) for k in near]
-            if pairs:
-                a, b = zip(*(sorted(p) for p in pairs), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([more] * len(a))], ["a", "b", "more"])
+                if take > 1 and len(near) > take:
+                    rows.append((1, node[x], None, 0))
+                    members.update(near.tolist())
+                    continue
+                for k in near if len(near) <= take else near[np.argsort(-like[near], kind="stable")[:take]]:
+                    rows.append((0, *sorted((node[x], node[right[k]])), 0))
+            rows += [(1, node[right[k]], None, 1) for k in members]
+            if rows:
+                key = parts[0].column(0)[0].as_py()
+                columns = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), *columns], ["key", "kind", "a", "b", "side"])
+
+    return run
+
+
+_SCREENED = "key long, kind int, a binary, b binary, side int"
+
+
+def _across(share: int, of: int):
+    """Links of a block's outliers to its members of other components, by full sets: one for each outlier and component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _blocks(batches):
+            node, comp, sets, side = ([x for p in parts for x in p.column(k).to_pylist()] for k in range(3, 7))
+            arrays = [np.frombuffer(x, np.uint64) for x in sets]
+            comps = np.unique(comp, return_inverse=True)[1]
+            right = np.flatnonzero(side)
+            links = []
+            if 0 < len(right) < len(node):
+                known, flat = np.unique(np.concatenate([arrays[k] for k in right]), return_inverse=True)
+                size = np.array([len(arrays[k]) for k in right])
+                starts, theirs = np.cumsum(size) - size, comps[right]
+                mark = np.zeros(len(known), np.int32)
+                for x in np.flatnonzero(np.array(side) == 0):
+                    mine = arrays[x]
+                    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    at = at[known[at] == mine]
+                    mark[at] = 1
+                    both = np.add.reduceat(mark[flat], starts)
+                    mark[at] = 0
+                    linked = np.flatnonzero((of * both >= share * (len(mine) + size - both)) & (theirs != comps[x]))
+                    links += [(node[x], node[right[k]]) for k in linked[np.unique(theirs[linked], return_index=True)[1]]]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return run
 
@@ -133,15 +173,33 @@ def _open_buckets(members: DataFrame, found: DataFrame, sig: DataFrame) -> DataF
     placed = members.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     placed = placed.join(sizes, "key").join(sig, "node")
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    n_right, n_left = cut(F.col("n")), cut(F.col("n") - F.col("main.n"))
-    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    outlier = F.col("comp") != F.col("main.comp")
+    return _dealt(placed, F.lit(True), outlier, F.col("n"), F.col("n") - F.col("main.n"), BLOCK, "sig")
+
+
+def _dealt(rows: DataFrame, member: Column, outlier: Column, n_members: Column, n_outliers: Column, block: int, *carried: str) -> DataFrame:
+    """Rows (key, node, comp) dealt to blocks (i, j) of their key: each member to a j with every i, each outlier to an i with every j."""
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    n_right, n_left = cut(n_members), cut(n_outliers)
+    mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    as_member = F.transform(every(n_left), lambda i: F.struct(i.alias("i"), block(n_right).alias("j"), F.lit(1).alias("side")))
-    as_outlier = F.transform(every(n_right), lambda j: F.struct(block(n_left).alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    both = F.when(F.col("comp") == F.col("main.comp"), as_member).otherwise(F.concat(as_member, as_outlier))
-    rows = placed.select("key", F.inline(both), "node", "comp", "sig").select("key", F.col("i").cast("long"), F.col("j").cast("long"), "node", "comp", "sig", "side")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    as_member = F.transform(every(n_left), lambda i: F.struct(i.alias("i"), mine(n_right).alias("j"), F.lit(1).alias("side")))
+    as_outlier = F.transform(every(n_right), lambda j: F.struct(mine(n_left).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    both = F.concat(F.when(member, as_member).otherwise(none), F.when(outlier, as_outlier).otherwise(none))
+    made = rows.select("key", F.inline(both), "node", "comp", *carried).select("key", F.col("i").cast("long"), F.col("j").cast("long"), "node", "comp", *carried, "side")
+    return made.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _by_sets(marked: DataFrame, found: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
+    """Links among the marked rows (key, node, side) by their sets, in blocks of about SHINGLES shingles."""
+    rows = marked.groupBy("key", "node").agg(F.max("side").alias("member"), F.min("side").alias("outlier")).join(sets, "node")
+    rows = rows.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("n", F.octet_length("shingles") / 8)
+    member, outlier = F.col("member") == 1, F.col("outlier") == 0
+    rows = stored(rows, "marked")
+    sizes = rows.groupBy("key").agg(F.sum(F.when(member, F.col("n")).otherwise(0)).alias("n_members"), F.sum(F.when(outlier, F.col("n")).otherwise(0)).alias("n_outliers"))
+    dealt = _dealt(rows.join(sizes, "key"), member, outlier, F.col("n_members"), F.col("n_outliers"), SHINGLES, "shingles")
+    return stored(dealt.mapInArrow(_across(share, of), "a binary, b binary"), "links", 16)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
@@ -178,19 +236,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sig.toDF("b", "t"), "b").join(sig.toDF("a", "s"), "a").select("a", "b", "s", "t").mapInArrow(_estimate, "a binary, b binary")
-    links, take = _links(stars, sets, share, of), 1
-    while True:
+    links = _links(stars, sets, share, of)
+    for take in (1, TAKE):
         found = components(links)
-        near = _likeliest(take)
-        pairs = stored(_open_buckets(members, found, sig).mapInArrow(near, "a binary, b binary, more boolean"), "pairs", 16)
-        told = pairs.agg(F.count("*").alias("n"), F.bool_or("more").alias("more")).first()
-        if not told.n:
-            break
-        links = links.union(_links(pairs.select("a", "b").distinct(), sets, share, of))
-        if not told.more:
-            found = components(links)
-            break
-        take *= 8
+        screened = stored(_open_buckets(members, found, sig).mapInArrow(_screened(take), _SCREENED), "pairs", 4)
+        links = links.union(_links(screened.where("kind = 0").select("a", "b").distinct(), sets, share, of))
+    marked = screened.where("kind = 1").select("key", F.col("a").alias("node"), "side")
+    if not marked.isEmpty():
+        links = links.union(_by_sets(marked, found, sets, share, of))
+    found = components(links)
 
     named = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
