@@ -46,7 +46,7 @@ BLOCK_ROWS, FAN_IN = 64, 64
 #: Bytes of text whose keys one shard holds, about.
 SHARD_BYTES = 32 << 20
 #: Bits of a word's key; of the key of a pair or triple beyond those that tell the training tokens apart, and the most.
-WORD_BITS, SPARE_BITS, MOST_BITS = 60, 10, 64 - DOC_BITS
+WORD_BITS, SPARE_BITS, MOST_BITS = 60, 6, 64 - DOC_BITS
 #: Tokens of a document's first block; each later block is as long as all before it, up to STRIDE.
 FIRST, STRIDE = 16, 64
 #: The bucket predictors' starting weights (the last is the document's own counts), learning rate, gates and refinement.
