@@ -44,7 +44,7 @@ CHUNK, DOC_BITS = 1 << 20, 12
 #: Rows of counts that travel together, and tables of one group that are summed by one task.
 BLOCK_ROWS, FAN_IN = 64, 64
 #: Bytes of text whose keys one shard holds, about.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Bits of a word's key; of the key of a pair or triple beyond those that tell the training tokens apart, and the most.
 WORD_BITS, SPARE_BITS, MOST_BITS = 60, 6, 64 - DOC_BITS
 #: Tokens of a document's first block; each later block is as long as all before it, up to STRIDE.
@@ -101,7 +101,7 @@ def contexts(symbols: np.ndarray, endings: np.ndarray, starts: np.ndarray) -> li
     one, two = _back(symbols, place, 1, 0), _back(symbols, place, 2, 0)
     both = (mix(one.astype(U64) * U64(SYMBOLS) + two.astype(U64)) & U64(CONTEXTS[2] - 1)).astype(np.int64)
     found = (np.zeros(n, np.int64), one, both, _back(endings, place, 1, 0), two)
-    return [x + o for x, o in zip(found, OFFSETS, strict=True)]
+    return [(x + o).astype(np.int32) for x, o in zip(found, OFFSETS, strict=True)]
 
 
 def gram_keys(words: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +175,10 @@ class Decision:
     def __init__(self, seen: np.ndarray, count: np.ndarray, starts: np.ndarray, hits: np.ndarray):
         self.coded = seen > 0
         self.hit = self.coded & (count > 0)
-        self.level = np.minimum(np.log2(np.maximum(seen, 1)), LEVELS - 1).astype(np.int64)
+        self.level = np.minimum(np.log2(np.maximum(seen, 1)), LEVELS - 1).astype(np.int16)
         place = places(starts, len(seen))
-        past = sum(_back(hits.astype(np.int64), place, k, 0) << (k - 1) for k in (1, 2, 3))
-        self.rows = [self.level, past + FLAG_OFFSETS[1], self.level * PAST + past + FLAG_OFFSETS[2]]
+        past = sum(_back(hits.astype(np.int16), place, k, 0) << (k - 1) for k in (1, 2, 3))
+        self.rows = [self.level, past + np.int16(FLAG_OFFSETS[1]), self.level * np.int16(PAST) + past + np.int16(FLAG_OFFSETS[2])]
         self.gate = np.minimum(self.level, 3) * 2 + (past & 1)
         self.start = (STEEP * np.log(seen + 0.5) - LOW).astype(np.float32)
 
@@ -220,7 +220,7 @@ class Mixer:
                     cost[some] += self._decide(d, at[some], doc[some], f, more, flag_weights, flag_own, flag_hits, scale)
                 going = going[~d.hit[at[going]]]
             if len(going):
-                cost[going] += self._buckets(symbols[at[going]], [r[at[going]] for r in rows], doc[going], weights, own, hits, k, scale)
+                cost[going] += self._buckets(symbols[at[going]], [r[at[going]].astype(np.int64) for r in rows], doc[going], weights, own, hits, k, scale)
             total[live] += np.add.reduceat(cost.astype(np.float64), first)
             begin, end = end, end + min(end, STRIDE)
 
@@ -342,7 +342,7 @@ class _Chunk:
         mine = (keys & U64(SYMBOLS - 1)).astype(np.int64)[seq]
         chosen = mine[use]
         for r in contexts(mine, endings[seq], starts):
-            counts += np.bincount(r[use] * SYMBOLS + chosen, minlength=len(counts))
+            np.add.at(counts, r[use].astype(np.int64) * SYMBOLS + chosen, 1)
         head = np.array([len(sizes), len(seq), len(keys)], "<i8").tobytes() + np.array([0 if i is None else i for i in self.ids], "<i8").tobytes() + np.array([i is None for i in self.ids], "u1").tobytes()
         parts = [head + sizes.astype("<i4").tobytes() + np.array(self.n_bytes, "<i8").tobytes() + learns.astype("u1").tobytes(), packed(seq), packed(np.diff(keys, prepend=U64(0))), packed(endings), packed(lengths)]
         yield _row("texts", chunk, chunk, b"".join(len(x).to_bytes(8, "little") + x for x in parts), len(seq), None)
