@@ -40,7 +40,7 @@ ROWS = sum(CONTEXTS)
 HEAD, TAIL = 3, 3
 END = b"\n"
 #: Bounds of one chunk: its tokens, and its documents as a power of two.
-CHUNK, DOC_BITS = 1 << 20, 12
+CHUNK, DOC_BITS = 3 << 18, 12
 #: Rows of counts that travel together, and tables of one group that are summed by one task.
 BLOCK_ROWS, FAN_IN = 64, 64
 #: Bytes of text whose keys one shard holds, about.
@@ -316,7 +316,7 @@ class _Chunk:
         at = self.at
         new = set(words).difference(at)
         at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-        self.docs.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
+        self.docs.append(np.fromiter(map(at.__getitem__, words), np.int32, len(words)))
         self.ids.append(doc_id)
         self.learned.append(learn)
         self.n_bytes.append(sum(map(len, words)) + len(words) - 1)
@@ -396,7 +396,7 @@ def _answer(rows: pa.Table) -> pa.Table:
 def _chunks(bits: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        counts = np.zeros(ROWS * SYMBOLS, np.int64)
+        counts = np.zeros(ROWS * SYMBOLS, np.int32)
         chunk = _Chunk()
         for batch in pieces(batches):
             for doc_id, text, learn in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
