@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
 #: Bytes of text that a Python worker holds as words at one time.
-WORK_BYTES = 2 << 20
+WORK_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker.
-BATCH_BYTES = 8 << 20
-#: Entries that a worker-wide cache may hold before it is emptied; hashes are cheap to make again.
-CACHE_ENTRIES = 120_000
+BATCH_BYTES = 4 << 20
+#: Hashes that a worker may hold before they are forgotten; they are cheap to make again.
 HASH_ENTRIES = 50_000
 
 U64 = np.uint64
@@ -79,6 +78,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str = "text", limit: int
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # A worker lives on between tasks: what Arrow holds for it is given back.
+    pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
