@@ -115,9 +115,9 @@ def toc_parse_wrapped(spark: SparkSession, folder: str) -> DataFrame:
     return O.toc_entries(_toc_text(spark, folder, True)).drop("raw_line")
 
 
-def _offset_tables(spark: SparkSession, folder: str, chosen: str = "true") -> tuple[DataFrame, DataFrame]:
-    """Entries of the chosen orders, and pages at a third of the orders' own offset; every seventh line's page lies one further."""
-    rows = _order_lines(spark, folder).where(chosen).withColumn("title", F.concat(F.lit("head "), "l_partkey"))
+def _offset_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Entries of the orders, and pages at a third of the orders' own offset; every seventh line's page lies one further."""
+    rows = _order_lines(spark, folder).withColumn("title", F.concat(F.lit("head "), "l_partkey"))
     at = F.col("page") - 1 + (F.col("l_orderkey") % 3).cast("int") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)
     entries = rows.select(F.col("l_orderkey").alias("doc_key"), "seq", "title", "page")
     last = rows.groupBy(F.col("l_orderkey").alias("doc_key")).agg((F.max("page") + 1).alias("page_no")).withColumn("text", F.lit(""))
@@ -130,7 +130,7 @@ def _equal(a, b):
 
 _SQL_OFFSET = f"""
 WITH {_SQL_LINES},
-r AS (SELECT l_orderkey AS doc_key, seq, 'head ' || l_partkey AS title, page, page - 1 + CAST(l_orderkey % 3 AS INTEGER) + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS pos FROM l WHERE l_orderkey % 10 = 0),
+r AS (SELECT l_orderkey AS doc_key, seq, 'head ' || l_partkey AS title, page, page - 1 + CAST(l_orderkey % 3 AS INTEGER) + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS pos FROM l),
 p0 AS (SELECT doc_key, pos AS page_no, title AS text FROM r UNION ALL SELECT doc_key, max(page) + 1, '' FROM r GROUP BY doc_key),
 p AS (SELECT doc_key, page_no, max(text) AS text FROM p0 GROUP BY ALL),
 best AS (SELECT r.doc_key, r.seq, min(p.page_no - r.page + 1) AS own FROM r JOIN p ON p.doc_key = r.doc_key AND p.text = r.title AND p.page_no - r.page + 1 BETWEEN -3 AND 45 GROUP BY ALL),
@@ -145,13 +145,13 @@ SELECT doc_key, seq, title, page, "offset", CASE WHEN page - 1 + "offset" >= 0 A
 
 @query(_SQL_OFFSET)
 def page_offset_mode(spark: SparkSession, folder: str) -> DataFrame:
-    """With exact likeness, so that SQL can follow; of every tenth order, like its SQL."""
-    return O.page_offsets(*_offset_tables(spark, folder, "l_orderkey % 10 = 0"), score=_equal)
+    """With exact likeness, so that SQL can follow."""
+    return O.page_offsets(*_offset_tables(spark, folder), score=_equal)
 
 
 @query()
 def page_offset_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """With partial likeness of titles and page heads, of every order."""
+    """With partial likeness of titles and page heads."""
     return O.page_offsets(*_offset_tables(spark, folder))
 
 
@@ -212,12 +212,12 @@ def _chars(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem")
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     size = F.when(F.col("l_linenumber") % 6 == 0, 0.0).otherwise(F.col("l_quantity"))
-    return rows.select((F.col("l_orderkey") % 50).alias("doc_key"), F.expr("l_orderkey div 50").alias("page_no"), n.alias("char_seq"), (F.col("l_suppkey") % 6 + F.col("l_discount")).alias("top"), F.col("l_extendedprice").alias("x0"), size.alias("size"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    return rows.select(F.expr("l_orderkey div 400").alias("doc_key"), (F.col("l_orderkey") % 400).alias("page_no"), n.alias("char_seq"), (F.col("l_suppkey") % 6 + F.col("l_discount")).alias("top"), F.col("l_extendedprice").alias("x0"), size.alias("size"), F.concat("l_returnflag", "l_linestatus").alias("text"))
 
 
 _SQL_CHARS = """
 n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS char_seq FROM lineitem),
-c AS (SELECT l_orderkey % 50 AS doc_key, l_orderkey // 50 AS page_no, char_seq, round_even(l_suppkey % 6 + l_discount, 0) AS top, l_extendedprice AS x0, CASE WHEN l_linenumber % 6 = 0 THEN 0.0 ELSE l_quantity END AS size, l_returnflag || l_linestatus AS text FROM n),
+c AS (SELECT l_orderkey // 400 AS doc_key, l_orderkey % 400 AS page_no, char_seq, round_even(l_suppkey % 6 + l_discount, 0) AS top, l_extendedprice AS x0, CASE WHEN l_linenumber % 6 = 0 THEN 0.0 ELSE l_quantity END AS size, l_returnflag || l_linestatus AS text FROM n),
 l AS (SELECT doc_key, page_no, top, string_agg(text, '' ORDER BY x0, char_seq) AS text, coalesce(avg(nullif(size, 0)), 0.0) AS size FROM c GROUP BY ALL)
 """
 
@@ -258,12 +258,14 @@ def chunk_id_collisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(replace(text, ' e', chr(160) || 'e'), ' d', chr(8195) || 'd'), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(0, CAST(CASE WHEN len(w) = 0 THEN 1 ELSE 1 + ceil(greatest(len(w) - 350, 0) / 300.0) END AS BIGINT))) AS idx FROM w)
 SELECT doc_id, CAST(idx AS INTEGER) AS idx, trim('Head. ' || array_to_string(w[idx * 300 + 1:idx * 300 + 350], ' ')) AS text, CAST(len(w[idx * 300 + 1:idx * 300 + 350]) AS INTEGER) AS word_count FROM i
 """)
 def subchunk_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return K.subchunks(table(spark, folder, "documents"), "doc_id", prefix=F.lit("Head. "))
+    """Windows of texts some of whose spaces are no-break or em spaces."""
+    text = F.replace(F.replace("text", F.lit(" e"), F.lit("\u00a0e")), F.lit(" d"), F.lit("\u2003d"))
+    return K.subchunks(table(spark, folder, "documents").withColumn("text", text), "doc_id", prefix=F.lit("Head. "))
 
 
 @query()

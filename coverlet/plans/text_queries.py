@@ -49,13 +49,13 @@ _SQL_CLEAN = """
 WITH t AS (SELECT doc_id, '  (cid:7)hy-' || chr(10) || 'phen' || chr(9) || chr(9) || 'gap' || chr(13) || chr(13) || text || chr(10) || chr(10) || '(cid:12) end  ' AS x FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\\(cid:[0-9]+\\)', ' ', 'g'), '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g') AS x FROM t),
 m AS (SELECT doc_id, {mashed} AS x FROM a)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(x, chr(13), chr(10)), '[ \\t]{2,}', ' ', 'g'), '\\n{2,}', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS cleaned FROM m
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(x, chr(13), chr(10)), '[ \\t]{2,}', ' ', 'g'), '\\n{2,}', chr(10), 'g'), '^[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+|[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+$', '', 'g') AS cleaned FROM m
 """
 _MASHED = "regexp_replace({0}, '([a-zA-Z])([0-9])', '\\1 \\2', 'g')", "regexp_replace({0}, '([0-9])([a-zA-Z])', '\\1 \\2', 'g')", "regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
 
 
 def _noisy() -> F.Column:
-    return F.concat(F.lit("  (cid:7)hy-\nphen\t\tgap\r\r"), "text", F.lit("\n\n(cid:12) end  "))
+    return F.concat(F.lit("  (cid:7)hy-\nphen\t\tgap\r\r"), "text", F.lit("\n\n(cid:12) end\u2003 \u00a0"))
 
 
 @query(_SQL_CLEAN.replace("{mashed}", "x"))
