@@ -11,33 +11,29 @@ from ..sources.tables import table
 from .registry import query
 
 
-#: The orders that the SQL of unit_parse, topic_explode, rule_hit_counts and subject_qa takes of each customer.
-_FIRST = "unit <= 5"
-
-
-def _lines(spark: SparkSession, folder: str, chosen: str = "true") -> DataFrame:
-    """The lines of each customer's chosen orders: a subject with units (orders) and topics (lines)."""
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of each customer's orders: a subject with units (orders) and topics (lines)."""
     orders = table(spark, folder, "orders")
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    orders = orders.withColumn("unit", k).where(chosen)
+    orders = orders.withColumn("unit", k)
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     lines = table(spark, folder, "lineitem").withColumn("n", n)
     return lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "unit"), "l_orderkey").select("o_custkey", "unit", "n", "l_partkey", "l_suppkey")
 
 
 _SQL_LINES = """
-o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS unit FROM orders QUALIFY unit <= 5),
+o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS unit FROM orders),
 x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem),
 l AS (SELECT o_custkey, unit, n, l_partkey, l_suppkey FROM x JOIN o ON o_orderkey = l_orderkey)
 """
 
 
-def _texts(spark: SparkSession, folder: str, chosen: str = "true") -> DataFrame:
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
     """A syllabus a customer, in non-standard wording for every third one."""
     odd = F.col("o_custkey") % 3 == 0
     topic = F.concat(F.lit("topic "), F.col("l_partkey"), F.lit(" of "), F.col("l_suppkey"))
     joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("o"), c.alias("t")))), lambda r: r.t), "{}")
-    units = _lines(spark, folder, chosen).groupBy("o_custkey", "unit").agg(F.array_sort(F.collect_list(F.struct("n", topic.alias("t")))).alias("t"))
+    units = _lines(spark, folder).groupBy("o_custkey", "unit").agg(F.array_sort(F.collect_list(F.struct("n", topic.alias("t")))).alias("t"))
     head = F.concat(F.when(odd, F.lit("MODULE ")).otherwise("UNIT "), int_to_roman(F.col("unit")), F.lit(" BASIC PART "), F.when(odd, F.lit("9")).otherwise(" 9 + 3"))
     body = F.when(odd, F.concat(F.lit("\n•"), F.array_join(F.transform("t", lambda r: r.t), "\n • "))).otherwise(F.concat(F.lit("\n"), F.array_join(F.transform("t", lambda r: r.t), " –\n ")))
     units = units.select("o_custkey", "unit", F.concat(head, body, F.lit(" .\n")).alias("text"))
@@ -49,8 +45,8 @@ def _texts(spark: SparkSession, folder: str, chosen: str = "true") -> DataFrame:
     return rows.select("o_custkey", F.concat(F.lit("c/"), "o_custkey", F.lit(".pdf")).alias("source_file"), F.concat(F.lit("LM317 is a part number\n" + "filler " * 80), code, F.lit("  - NAME OF "), F.col("o_custkey"), F.lit(" L T P C\n"), goal, "units", books).alias("text"))
 
 
-def _subjects(spark: SparkSession, folder: str, chosen: str = "true") -> DataFrame:
-    return Y.subjects(Y.standardize(_texts(spark, folder, chosen).drop("o_custkey")).select("source_file", "text"))
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return Y.subjects(Y.standardize(_texts(spark, folder).drop("o_custkey")).select("source_file", "text"))
 
 
 _SQL_UNITS = f"{_SQL_LINES}, u AS (SELECT 'c/' || o_custkey || '.pdf' AS source_file, 'ME' || (o_custkey % 9000 + 1000) AS code, o_custkey, unit, n, 'topic ' || l_partkey || ' of ' || l_suppkey AS topic, dense_rank() OVER (PARTITION BY o_custkey ORDER BY unit) - 1 AS unit_seq FROM l)"
@@ -63,12 +59,12 @@ def course_starts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_SQL_UNITS} SELECT source_file, code, CAST(unit_seq AS INTEGER) AS unit_seq, CAST(unit AS INTEGER) AS unit_number, 'BASIC PART' AS unit_title, string_agg(topic, '|' ORDER BY n) AS topics FROM u GROUP BY ALL")
 def unit_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return Y.units(_subjects(spark, folder, _FIRST)).select("source_file", "code", "unit_seq", "unit_number", "unit_title", F.array_join("topics", "|").alias("topics"))
+    return Y.units(_subjects(spark, folder)).select("source_file", "code", "unit_seq", "unit_number", "unit_title", F.array_join("topics", "|").alias("topics"))
 
 
 @query(f"WITH {_SQL_UNITS} SELECT source_file, code, CAST(unit_seq AS INTEGER) AS unit_seq, CAST(n - 1 AS INTEGER) AS topic_seq, topic FROM u")
 def topic_explode(spark: SparkSession, folder: str) -> DataFrame:
-    return Y.explode_topics(Y.units(_subjects(spark, folder, _FIRST))).select("source_file", "code", "unit_seq", "topic_seq", "topic")
+    return Y.explode_topics(Y.units(_subjects(spark, folder))).select("source_file", "code", "unit_seq", "topic_seq", "topic")
 
 
 @query(f"""
@@ -85,7 +81,7 @@ WITH {_SQL_LINES}, c AS (SELECT o_custkey, count(*) AS topics, count(DISTINCT un
 SELECT 'c/' || o_custkey || '.pdf' AS source_file, CASE WHEN o_custkey % 3 = 0 THEN 'bullet_marker=' || topics || ', course_code_cohort_prefix=1, objectives_header_synonym=1, reference_header_synonym=1, textbook_header_synonym=1, unit_header_synonym=' || units ELSE '' END AS changes FROM c
 """)
 def rule_hit_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = Y.standardize(_texts(spark, folder, _FIRST))
+    rows = Y.standardize(_texts(spark, folder))
     told = F.transform(F.array_sort(F.map_entries("changes")), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
     return rows.select("source_file", F.array_join(told, ", ").alias("changes"))
 
@@ -128,4 +124,4 @@ WITH {_SQL_LINES}, c AS (SELECT o_custkey, count(*) AS topics, count(DISTINCT un
 SELECT 'c/' || o_custkey || '.pdf' AS source_file, 'ME' || (o_custkey % 9000 + 1000) AS code, units AS n_units, topics AS n_topics, CAST(2 AS BIGINT) AS n_textbooks, CAST(1 AS BIGINT) AS n_references, '' AS flags FROM c
 """)
 def subject_qa(spark: SparkSession, folder: str) -> DataFrame:
-    return Y.subject_qa(_texts(spark, folder, _FIRST).select("source_file", "text"))
+    return Y.subject_qa(_texts(spark, folder).select("source_file", "text"))
