@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import patterns as P
-from ..functions.scoring import allows_section, allows_unit, combine_scores, fuzzy_score, keyword_score, metadata_score, round1
+from ..functions.scoring import allows_section, allows_unit, combine_scores, fuzzy_score, metadata_score, round1
 from ..functions.text import coverage_label, semantic_query, stem_set, strip
 from .vectors import Encoder, best_per_chunk, encode, similarities
 
@@ -20,16 +20,19 @@ def with_stems(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_title", title).withColumn("title_stems", stem_set(F.col("chunk_title"))).withColumn("body_stems", stem_set(F.col("text")))
 
 
-def keyword_overlaps(topics: DataFrame, chunks: DataFrame, topic: str, chunk: str) -> DataFrame:
+def keyword_overlaps(topics: DataFrame, chunks: DataFrame, topic: str | list[str], chunk: str | list[str]) -> DataFrame:
     """(topic, chunk, keyword) of the pairs that share a stem, by an index of stems instead of all pairs.
 
-    topics: (topic, topic_stems); chunks: (chunk, title_stems, body_stems). Pairs that are missing score 0.
+    topics: (topic, topic_stems); chunks: (chunk, title_stems, body_stems). Keys that both have must be equal. Pairs
+    that are missing score 0.
     """
-    asked = topics.select(topic, F.size("topic_stems").alias("n"), F.explode("topic_stems").alias("stem"))
+    topic, chunk = ([x] if isinstance(x, str) else x for x in (topic, chunk))
+    keys = [*topic, *(c for c in chunk if c not in topic)]
+    asked = topics.select(*topic, F.size("topic_stems").alias("n"), F.explode("topic_stems").alias("stem"))
     weighed = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("stem"), F.lit(w).alias("w")))
-    index = chunks.select(chunk, F.inline(F.concat(weighed(F.col("title_stems"), 2), weighed(F.array_except("body_stems", "title_stems"), 1))))
-    hits = index.join(asked, "stem").groupBy(topic, chunk, "n").agg(F.sum("w").alias("hits"))
-    return hits.select(topic, chunk, F.least(F.lit(1.0), F.col("hits") / (2 * F.col("n"))).alias("keyword"))
+    index = chunks.select(*chunk, F.inline(F.concat(weighed(F.col("title_stems"), 2), weighed(F.array_except("body_stems", "title_stems"), 1))))
+    hits = index.join(asked, ["stem", *(c for c in chunk if c in topic)]).groupBy(*keys, "n").agg(F.sum("w").alias("hits"))
+    return hits.select(*keys, F.least(F.lit(1.0), F.col("hits") / (2 * F.col("n"))).alias("keyword"))
 
 
 def best_passages(scored: DataFrame, topic: tuple[str, ...], book: str, order: tuple[str, ...], coverage: str = "coverage") -> DataFrame:
@@ -68,12 +71,19 @@ def score_candidates(topics: DataFrame, cited: DataFrame, scopes: DataFrame, chu
     pairs = pairs.withColumn("units", F.coalesce("scope.units", F.array().cast("array<int>"))).withColumn("sections", F.coalesce("scope.sections", F.array().cast("array<string>")))
     usable = chunks.groupBy("book_key").agg(F.collect_set("section_label").alias("labels"))
     pairs = pairs.join(meta, "book_key").join(usable, "book_key").withColumn("by_section", (F.size("sections") > 0) & F.arrays_overlap("sections", "labels"))
-    rows = pairs.drop("scope", "labels").join(chunks.select("book_key", "chunk_id", "chunk_seq", "section_label", "chunk_title", "title_stems", "body_stems"), "book_key")
+    rows = pairs.drop("scope", "labels", "topic_stems").join(chunks.select("book_key", "chunk_id", "chunk_seq", "section_label", "chunk_title"), "book_key")
     rows = rows.join(semantic, [*TOPIC, "book_key", "chunk_id"])
-    coverage = combine_scores(F.col("semantic"), keyword_score(F.col("topic_stems"), F.col("title_stems"), F.col("body_stems")), fuzzy_score(F.col("topic"), F.col("chunk_title")), F.col("meta"), config)
+    # Stems meet by an index within each book, once a topic's text; pairs without a common stem score 0.
+    asked = pairs.select("topic", "book_key", "topic_stems").distinct()
+    overlaps = keyword_overlaps(asked, chunks, ["topic", "book_key"], ["book_key", "chunk_id"])
+    rows = rows.join(overlaps, ["topic", "book_key", "chunk_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     unit = F.when(allows_unit(F.col("units"), F.col("unit_number")), 1.0).otherwise(config.out_of_unit)
     section = F.when(F.col("by_section") & ~allows_section(F.col("sections"), F.col("section_label")), config.out_of_section).otherwise(1.0)
-    rows = rows.withColumn("coverage", coverage * unit * section).select(*TOPIC, "citation_type", "key_seq", "book_key", "chunk_id", "chunk_seq", "coverage")
+    covers = lambda fuzzy: combine_scores(F.col("semantic"), F.col("keyword"), fuzzy, F.col("meta"), config) * unit * section
+    # Likeness of titles is the dear score: only chunks that could win with the highest one are compared.
+    group = Window.partitionBy(*TOPIC, "citation_type", "key_seq", "book_key")
+    rows = rows.withColumn("_least", covers(F.lit(0.0))).withColumn("_bar", F.max("_least").over(group)).where(covers(F.lit(1.0)) >= F.col("_bar"))
+    rows = rows.withColumn("coverage", covers(fuzzy_score(F.col("topic"), F.col("chunk_title")))).select(*TOPIC, "citation_type", "key_seq", "book_key", "chunk_id", "chunk_seq", "coverage")
     best = best_passages(rows, (*TOPIC, "citation_type", "key_seq"), "book_key", ("chunk_id",))
     return best.withColumn("coverage", round1(F.col("coverage"), config))
 

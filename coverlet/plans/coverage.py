@@ -101,12 +101,13 @@ def map_coverage(syllabi: DataFrame, docs: DataFrame, pages: DataFrame, chars: D
     wanted = Q.cited_only(docs.select(F.col("doc_key").alias("book_key")), resolved).withColumnRenamed("book_key", "doc_key")
     used = pages.join(wanted, "doc_key", "left_semi")
     chapters = stored(book_chapters(used, chars.join(wanted, "doc_key", "left_semi") if chars is not None else None, config), "chapters")
-    chunks = stored(K.last_of_id(K.chunk_texts(K.flatten_chapters(chapters), used, config)), "chunks")
+    # Windows come from all chunks; of chunks with one id the last one's text and pages stand in the report.
+    chunks = stored(K.chunk_texts(K.flatten_chapters(chapters), used, config), "chunks")
     cited, scopes = Q.cited_keys(resolved, "source_file", "code"), Q.book_scopes(resolved, "source_file", "code")
     vectors = V.encode(K.subchunks(chunks, "book_key", "chunk_id", config=config).select("book_key", "chunk_id", "text"), encoder).select("book_key", "chunk_id", "embedding")
     semantic = stored(R.semantic_scores(topics, cited, vectors, encoder, config), "semantic")
     missing = Q.unreadable(resolved, catalog, chunks, "source_file", "code")
-    rows = R.recommendations(subjects, topics, cited, scopes, chunks, catalog, semantic, missing, config)
+    rows = R.recommendations(subjects, topics, cited, scopes, K.last_of_id(chunks), catalog, semantic, missing, config)
     return Coverage(subjects, topics, resolved, catalog, chapters, chunks, rows)
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import scoring as S
 from ..functions.fuzzy import token_set_ratio_column
-from ..functions.text import clean_text, coverage_label, stem_set
+from ..functions.text import clean_text, coverage_label, rate, stem_set
 from ..operators import citations as Q
 from ..operators import ranking as R
 from ..operators import reports as P
 from ..operators import vectors as V
-from ..operators.chunks import subchunks
+from ..operators.chunks import last_of_id, subchunks
 from ..sources.tables import table
 from .registry import query
 from .text_queries import sql_stems
@@ -46,8 +47,6 @@ def max_sim_per_chunk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_SQL_VECTORS} SELECT topic, vec_id, round(greatest(0.0, least(1.0, (s - 0.45) / (0.85 - 0.45))), 6) AS semantic, round(greatest(0.0, least(1.0, s)), 6) AS flat FROM p")
 def rescale(spark: SparkSession, folder: str) -> DataFrame:
-    from ..config import EngineConfig
-
     flat = EngineConfig(similarity_floor=0.5, similarity_ceiling=0.5)
     return _vector_pairs(spark, folder).select("topic", "vec_id", F.round(S.rescale_semantic(F.col("similarity")), 6).alias("semantic"), F.round(S.rescale_semantic(F.col("similarity"), flat), 6).alias("flat"))
 
@@ -108,19 +107,23 @@ def _topics_and_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return topics, chunks
 
 
+#: The other scores of these pairs are fixed: likeness of titles and metadata.
+_FUZZY, _META = 1.0, 0.75
+
+
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of items and documents that share a stem, by the index of stems."""
     topics, chunks = _topics_and_chunks(spark, folder)
-    pairs = chunks.select("doc_id", "source").crossJoin(F.broadcast(topics.select("item_id")))
-    rows = pairs.join(R.keyword_overlaps(topics, chunks, "item_id", "doc_id"), ["item_id", "doc_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
-    return rows.withColumn("coverage", S.combine_scores(F.col("keyword"), F.col("keyword"), F.lit(1.0), F.lit(0.75)))
+    rows = R.keyword_overlaps(topics, chunks, "item_id", "doc_id").join(chunks.select("doc_id", "source"), "doc_id")
+    return rows.withColumn("coverage", S.combine_scores(F.col("keyword"), F.col("keyword"), F.lit(_FUZZY), F.lit(_META)))
 
 
 @query(f"WITH {_SQL_KEYWORD} SELECT item_id, doc_id, round(keyword, 6) AS keyword FROM k WHERE keyword > 0")
 def keyword_score(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder).where("keyword > 0").select("item_id", "doc_id", F.round("keyword", 6).alias("keyword"))
+    return _scored(spark, folder).select("item_id", "doc_id", F.round("keyword", 6).alias("keyword"))
 
 
-@query(f"WITH {_SQL_KEYWORD} SELECT item_id, doc_id, coverage, CASE WHEN coverage >= 90 THEN 'Excellent' WHEN coverage >= 75 THEN 'Good' WHEN coverage >= 70 THEN 'Moderate' WHEN coverage >= 55 THEN 'Tentative' ELSE 'Weak' END AS grade FROM c")
+@query(f"WITH {_SQL_KEYWORD} SELECT item_id, doc_id, coverage, CASE WHEN coverage >= 90 THEN 'Excellent' WHEN coverage >= 75 THEN 'Good' WHEN coverage >= 70 THEN 'Moderate' WHEN coverage >= 55 THEN 'Tentative' ELSE 'Weak' END AS grade FROM c WHERE keyword > 0")
 def coverage_combine(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder).select("item_id", "doc_id", "coverage", coverage_label(F.col("coverage")).alias("grade"))
 
@@ -129,7 +132,12 @@ _SQL_BEST = f"{_SQL_KEYWORD}, best AS (SELECT item_id, source, doc_id, coverage
 
 
 def _best(spark: SparkSession, folder: str) -> DataFrame:
-    return R.best_passages(_scored(spark, folder).drop("keyword"), ("item_id",), "source", ("doc_id",))
+    """Each item's best document of each source; where none shares a stem, all of them are equal and the first counts."""
+    best = R.best_passages(_scored(spark, folder).drop("keyword"), ("item_id",), "source", ("doc_id",))
+    none = F.lit(0.0)
+    first = table(spark, folder, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id")).withColumn("coverage", S.combine_scores(none, none, F.lit(_FUZZY), F.lit(_META)))
+    rest = table(spark, folder, "benchmark").select("item_id").join(first).join(best.select("item_id", "source"), ["item_id", "source"], "left_anti")
+    return best.select("item_id", "source", "doc_id", "coverage").unionByName(rest)
 
 
 @query(f"WITH {_SQL_BEST} SELECT item_id, source, doc_id, coverage FROM best")
@@ -172,6 +180,40 @@ def not_found_rows(spark: SparkSession, folder: str) -> DataFrame:
     return recommend_keywords(spark, folder).where("status = 'Not Found'").select("item_id")
 
 
+@query(f"""
+WITH {_SQL_BEST} SELECT item_id, source, coverage, CAST(row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, CAST(replace(source, 'src', '') AS INTEGER)) AS INTEGER) AS book_rank FROM best
+QUALIFY book_rank <= 3
+""")
+def top_books_per_topic(spark: SparkSession, folder: str) -> DataFrame:
+    """The three best sources of each item, all of one pool and above a bar that every source passes."""
+    rows = _best(spark, folder).withColumn("pool", F.lit(0)).withColumn("key_seq", F.replace("source", F.lit("src"), F.lit("")).cast("int"))
+    return R.top_books(rows, ("item_id",), "pool", config=EngineConfig(found_percent=0.0)).select("item_id", "source", "coverage", "book_rank")
+
+
+@query("""
+SELECT p_partkey, (CAST(p_name <> '' AS INTEGER) + CAST(p_size % 2 = 0 AS INTEGER) + CAST(p_size % 3 = 0 AS INTEGER) + 1) / 4 AS score FROM part
+""")
+def metadata_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as books: every second one names authors, every third one an edition."""
+    given = lambda n, text: F.when(F.col("p_size") % n == 0, text).otherwise(F.lit("") if n == 2 else F.lit(None))
+    return table(spark, folder, "part").select("p_partkey", S.metadata_score(F.col("p_name"), given(2, F.col("p_brand")), given(3, F.lit("2nd")), F.lit("2001")).alias("score"))
+
+
+@query("""
+WITH b AS (SELECT doc_key, chunk_id, max(chunk_seq) AS chunk_seq FROM (SELECT vec_id % 3 AS doc_key, vec_id % 37 AS chunk_id, vec_id AS chunk_seq FROM embeddings) GROUP BY ALL),
+q AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label),
+s AS (SELECT label AS topic, vec_id % 3 AS doc_key, vec_id % 37 AS chunk_id, max(list_dot_product(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS best FROM q CROSS JOIN embeddings GROUP BY ALL)
+SELECT topic, doc_key AS book_key, chunk_id, chunk_seq, round(best, 6) AS similarity FROM s JOIN b USING (doc_key, chunk_id)
+""".replace("q CROSS JOIN embeddings", "q CROSS JOIN (SELECT vec_id, embedding FROM embeddings)"))
+def colliding_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with one id: the best of all their windows counts, the last chunk stands for them."""
+    rows = table(spark, folder, "embeddings")
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_embedding")).withColumnRenamed("label", "topic")
+    chunks = rows.select((F.col("vec_id") % 3).alias("book_key"), (F.col("vec_id") % 37).alias("chunk_id"), F.col("vec_id").alias("chunk_seq"), "embedding")
+    best = V.best_per_chunk(V.similarities(first, chunks.drop("chunk_seq")), "topic", "book_key", "chunk_id")
+    return best.join(last_of_id(chunks.drop("embedding")), ["book_key", "chunk_id"]).select("topic", "book_key", "chunk_id", "chunk_seq", F.round("similarity", 6).alias("similarity"))
+
+
 # --- reports on labelled documents ---
 
 _SQL_STATUS = "s AS (SELECT d.doc_id, d.source, d.lang, CASE WHEN l.doc_id IS NULL THEN 'Not Found' WHEN quality = 1 THEN 'Found' ELSE 'Tentative' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -196,6 +238,17 @@ def summary_by_subject(spark: SparkSession, folder: str) -> DataFrame:
     return P.summary(_status_rows(spark, folder))
 
 
+@query(f"WITH {_SQL_STATUS} SELECT CAST(count_if(status = 'Found') AS BIGINT) AS found, CAST(count_if(status = 'Tentative') AS BIGINT) AS tentative, CAST(count_if(status = 'Not Found') AS BIGINT) AS not_found, count(*) AS total FROM s")
+def summary_total(spark: SparkSession, folder: str) -> DataFrame:
+    return P.summary(_status_rows(spark, folder)).where("syllabus = 'TOTAL' and subject_code is null").select("found", "tentative", "not_found", "total")
+
+
+@query("SELECT o_orderkey, round_even((o_orderkey % 8) / 8 * 100, 0)::INTEGER || '%' AS coverage, '0%' AS none FROM orders")
+def coverage_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """Eighths, so that halves occur."""
+    return table(spark, folder, "orders").select("o_orderkey", rate(F.col("o_orderkey") % 8, F.lit(8)).alias("coverage"), rate(F.lit(0), F.lit(0)).alias("none"))
+
+
 @query(f"WITH {_SQL_STATUS} SELECT status, count(*) AS count FROM s GROUP BY status")
 def status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _status_rows(spark, folder).groupBy("status").count()
