@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     gives the end alone; a null doc_id is kept. `loss_col` has the number of an example's last tokens that bear
     loss (null or no column: the share `loss_share` of them, rounded down). Examples beyond a limit are cut; with limits.cuts others may be, so
     that sequences fill up. Repeated rows are packed as often as they occur. Each task packs the rows it reads,
-    so nothing is shuffled and at most one sequence a task is left short; other columns are not read. `remembered`
+    so nothing is shuffled and only a task's last few sequences may be left short; other columns are not read. `remembered`
     chunks of text stay encoded in a worker: more of them take memory and save time. Ids are integers, else a TypeError.
     """
     limits = limits or Limits()
