@@ -440,7 +440,8 @@ def test_totals(spark, tmp_path):
 def test_gradients():
     net = bigru.BiGRU.new(["a", "b", "c"], hidden=3)
     net.weights = {k: v.astype(float) for k, v in net.weights.items()}
-    grid, size, target = *bigru._padded([b"abc", b"hello", b"z"]), np.array([0, 1, 2])
+    flat, begin, size, _ = bigru.windows([b"abc", b"hello", b"z"], 5, 0)
+    grid, target = flat[begin + np.arange(5)[:, None]], np.array([0, 1, 2])
     _, g = net.gradients(grid, size, target)
     for name, w in net.weights.items():
         at = np.unravel_index(np.abs(g[name]).argmax(), w.shape)
