@@ -10,6 +10,8 @@ class EngineConfig:
     books_dir: str = "books"
     syllabi_dir: str = "syllabi"
     output: str = "output/recommendations"
+    #: Folder of the table that keeps vectors between runs; none is kept for the empty string.
+    cache_dir: str = ""
     # Table-of-contents pages.
     toc_scan_pages: int = 60
     toc_least_score: float = 35.0

@@ -95,8 +95,14 @@ def heading_entries(found: DataFrame) -> DataFrame:
     return found.select("doc_key", seq.alias("seq"), F.col("text").alias("raw_line"), F.lit("").alias("label"), F.col("text").alias("title"), (F.col("page_no") + 1).alias("page"), "level", F.col("page_no").alias("pdf_page"))
 
 
+def usable_contents(contents: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(doc_key) of the documents whose contents have enough entries, and one with a page."""
+    counted = contents.groupBy("doc_key").agg(F.count("*").alias("n"), F.count("pdf_page").alias("placed"))
+    return counted.where((F.col("n") >= config.toc_least_entries) & (F.col("placed") > 0)).select("doc_key")
+
+
 def choose_entries(contents: DataFrame, font: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Entries of each document: of its contents if there are enough of them with a page, else by its headings; `by_font` tells."""
-    usable = contents.groupBy("doc_key").agg(F.count("*").alias("n"), F.count("pdf_page").alias("placed")).where((F.col("n") >= config.toc_least_entries) & (F.col("placed") > 0)).select("doc_key")
+    usable = usable_contents(contents, config)
     kept = contents.join(usable, "doc_key", "left_semi").withColumn("by_font", F.lit(False))
     return kept.unionByName(font.join(usable, "doc_key", "left_anti").withColumn("by_font", F.lit(True)), allowMissingColumns=True)

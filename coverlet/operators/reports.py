@@ -61,8 +61,28 @@ def write_report(rows: DataFrame, path: str, kind: str = "parquet") -> None:
         (writer.option("header", True).csv if kind == "csv" else writer.parquet)(f"{path}/{name}")
 
 
+def write_text(standard: DataFrame, path: str) -> None:
+    """The texts (source_file, text) as text files, one folder a source; null texts are empty."""
+    named = standard.select(F.element_at(F.split("source_file", "/"), -1).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    named.write.mode("overwrite").partitionBy("source").text(path)
+
+
+#: A workbook's two cell styles: plain, and bold white on dark in the middle for headings.
+STYLES = """<?xml version="1.0"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">
+<fonts count="2"><font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Calibri"/></font></fonts>
+<fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF203040"/></patternFill></fill></fills>
+<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>
+<cellXfs count="2"><xf xfId="0"/><xf xfId="0" fontId="1" fillId="2" applyFont="1" applyFill="1" applyAlignment="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf></cellXfs>
+</styleSheet>"""
+
+
+def column_letters(n: int) -> str:
+    """The name of a sheet's n-th column, from 1: A to Z, AA, ..."""
+    return (column_letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+
+
 def write_workbook(rows: DataFrame, path: str, most: int = 100_000) -> None:
-    """An .xlsx file of both sheets, for reports of at most `most` rows; larger ones go to write_report."""
+    """An .xlsx file of both sheets, with styled and frozen headings, filters and widths by content, for reports of at most `most` rows; larger ones go to write_report."""
     if (n := rows.count()) > most:
         raise ValueError(f"{n} rows are too many for a workbook")
     sheets = {"Recommendations": report(rows.orderBy("seq")), "Summary": summary(rows)}
@@ -71,15 +91,18 @@ def write_workbook(rows: DataFrame, path: str, most: int = 100_000) -> None:
     with zipfile.ZipFile(Path(path), "w", zipfile.ZIP_DEFLATED) as z:
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in (1, 2))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rels}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{rels}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in (1, 2)) + "</Relationships>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{rels}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in (1, 2)) + f'<Relationship Id="r3" Type="{rels}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", STYLES)
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{book}" xmlns:r="{rels}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
         for k, df in enumerate(sheets.values(), 1):
             lines = [df.columns, *df.collect()]
-            body = "".join(f"<row>{''.join(map(cell, line))}</row>" for line in lines)
+            body = "".join(f"<row>{''.join(map(cell, line))}</row>" for line in lines).replace("<c ", '<c s="1" ', len(df.columns))
+            wide = [min(40, 2 + max(len(str(v)) for v in column if v is not None)) for column in zip(*lines, strict=True)]
+            cols = "".join(f'<col min="{n}" max="{n}" width="{w}" customWidth="1"/>' for n, w in enumerate(wide, 1))
             view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0"?><worksheet xmlns="{book}">{view}<sheetData>{body}</sheetData></worksheet>')
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0"?><worksheet xmlns="{book}">{view}<cols>{cols}</cols><sheetData>{body}</sheetData><autoFilter ref="A1:{column_letters(len(wide))}{len(lines)}"/></worksheet>')
 
 
 def chapter_listing(chapters: DataFrame, sections: int = 5) -> DataFrame:

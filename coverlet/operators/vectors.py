@@ -70,10 +70,32 @@ def cache_misses(subchunks: DataFrame, cache: DataFrame, model: str) -> DataFram
 def embed_with_cache(subchunks: DataFrame, cache: DataFrame, encoder: Encoder | None = None, model: str = HashingEncoder.name) -> tuple[DataFrame, DataFrame]:
     """(the windows with vectors, rows to add to the cache): only distinct unknown texts are encoded."""
     fresh = encode(cache_misses(subchunks, cache, model).select("text_hash", "text").dropDuplicates(["text_hash"]), encoder).select(F.lit(model).alias("model"), "text_hash", "embedding")
-    known = cache.where(F.col("model") == model).select("text_hash", "embedding").unionByName(fresh.select("text_hash", "embedding"))
+    # Runs at the same time may have added the same text twice.
+    known = cache.where(F.col("model") == model).select("text_hash", "embedding").dropDuplicates(["text_hash"]).unionByName(fresh.select("text_hash", "embedding"))
     return subchunks.withColumn("text_hash", text_hash(F.col("text"))).join(known, "text_hash"), fresh
 
 
+CACHE = "model string, text_hash string, embedding array<float>"
+
+
+def encode_cached(subchunks: DataFrame, folder: str, encoder: Encoder | None = None) -> DataFrame:
+    """The windows (text, ...) with `embedding`, from the table of vectors kept in the folder; unknown texts are encoded
+    once each and appended to it before this returns.
+
+    A vector belongs to a model's name and a text, so a changed book only costs its changed windows. Null texts are
+    empty. Lost executors repeat the append's tasks; it commits as a whole.
+    """
+    spark, encoder = subchunks.sparkSession, encoder or HashingEncoder()
+    model = getattr(encoder, "name", type(encoder).__name__)
+    subchunks = subchunks.withColumn("text", F.coalesce("text", F.lit("")))
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    cache = spark.read.schema(CACHE).parquet(folder) if there else spark.createDataFrame([], CACHE)
+    embed_with_cache(subchunks, cache, encoder, model)[1].write.mode("append").parquet(folder)
+    known = spark.read.schema(CACHE).parquet(folder).where(F.col("model") == model).select("text_hash", "embedding").dropDuplicates(["text_hash"])
+    return subchunks.withColumn("text_hash", text_hash(F.col("text"))).join(known, "text_hash").drop("text_hash")
+
+
 def similarities(queries: DataFrame, vectors: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Raw similarity of each query (query_embedding) with each vector (embedding), within equal keys `on`.
 

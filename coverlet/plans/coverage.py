@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..log import LOG
 from ..functions.text import file_stem, fix_ligatures
 from ..operators import chapters as C
 from ..operators import chunks as K
@@ -51,16 +54,26 @@ def catalog_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return meta.join(ranked, "path").withColumn("filename", F.element_at(F.split("path", "/"), -1))
 
 
-def book_chapters(pages: DataFrame, chars: DataFrame | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chapters of every book: by its table of contents, else by the sizes of its lines where `chars` has them."""
+#: Characters of books: a table, or what reads them for the books (doc_key) that need them.
+Chars = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def book_chapters(pages: DataFrame, chars: Chars = None, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Chapters of every book: by its table of contents, else by the sizes of its lines where `chars` has them.
+
+    Characters are only asked for of books without usable contents.
+    """
     front = pages.where(F.col("page_no") < config.toc_scan_pages)
     found = O.toc_pages(front.select("doc_key", "page_no", O.page_score(F.col("text")).alias("score")), config)
     texts = range_text(found.withColumn("k", F.lit(0)), pages, "k", "toc_start", "toc_end")
     entries = O.page_offsets(stored(O.toc_entries(texts.select("doc_key", "text")), "entries"), pages, config)
     contents = entries.select("doc_key", "seq", "raw_line", "label", "title", "page", "level", F.col("pdf_page").cast("int").alias("pdf_page"))
+    contents = stored(contents, "contents")
     if chars is None:
         by_font = pages.sparkSession.createDataFrame([], ENTRY)
     else:
+        needed = pages.select("doc_key").distinct().join(C.usable_contents(contents, config), "doc_key", "left_anti")
+        chars = chars(needed) if callable(chars) else chars.join(needed, "doc_key", "left_semi")
         by_font = C.heading_entries(C.headings(chars, config)).select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in ENTRY.split(", ")))
     chosen = stored(C.choose_entries(contents, by_font, config), "chosen")
     sizes = pages.groupBy("doc_key").agg((F.max("page_no") + 1).cast("int").alias("num_pages"))
@@ -83,7 +96,7 @@ def pick_books(docs: DataFrame, names: list[str] | None) -> DataFrame:
     return docs.join(F.broadcast(wanted.select("doc_key").distinct()), "doc_key", "left_semi")
 
 
-def map_coverage(syllabi: DataFrame, docs: DataFrame, pages: DataFrame, chars: DataFrame | None = None, encoder: V.Encoder | None = None, codes: list[str] | None = None, books: list[str] | None = None, config: EngineConfig = DEFAULT) -> Coverage:
+def map_coverage(syllabi: DataFrame, docs: DataFrame, pages: DataFrame, chars: Chars = None, encoder: V.Encoder | None = None, codes: list[str] | None = None, books: list[str] | None = None, config: EngineConfig = DEFAULT) -> Coverage:
     """Recommendations for syllabi (source_file, text) from books: docs (doc_key, path, info_title, info_author), pages
     (doc_key, page_no, text) and characters (doc_key, page_no, char_seq, top, x0, size, text).
 
@@ -100,11 +113,13 @@ def map_coverage(syllabi: DataFrame, docs: DataFrame, pages: DataFrame, chars: D
     resolved = stored(Q.resolve(Y.cited_books(subjects), catalog, config), "resolved")
     wanted = Q.cited_only(docs.select(F.col("doc_key").alias("book_key")), resolved).withColumnRenamed("book_key", "doc_key")
     used = pages.join(wanted, "doc_key", "left_semi")
-    chapters = stored(book_chapters(used, chars.join(wanted, "doc_key", "left_semi") if chars is not None else None, config), "chapters")
+    chapters = stored(book_chapters(used, chars, config), "chapters")
     # Windows come from all chunks; of chunks with one id the last one's text and pages stand in the report.
     chunks = stored(K.chunk_texts(K.flatten_chapters(chapters), used, config), "chunks")
     cited, scopes = Q.cited_keys(resolved, "source_file", "code"), Q.book_scopes(resolved, "source_file", "code")
-    vectors = V.encode(K.subchunks(chunks, "book_key", "chunk_id", config=config).select("book_key", "chunk_id", "text"), encoder).select("book_key", "chunk_id", "embedding")
+    windows = K.subchunks(chunks, "book_key", "chunk_id", config=config).select("book_key", "chunk_id", "text")
+    vectors = V.encode_cached(windows, config.cache_dir, encoder) if config.cache_dir else V.encode(windows, encoder)
+    vectors = vectors.select("book_key", "chunk_id", "embedding")
     semantic = stored(R.semantic_scores(topics, cited, vectors, encoder, config), "semantic")
     missing = Q.unreadable(resolved, catalog, chunks, "source_file", "code")
     rows = R.recommendations(subjects, topics, cited, scopes, K.last_of_id(chunks), catalog, semantic, missing, config)
@@ -132,13 +147,26 @@ def read_syllabi(files: DataFrame, reader) -> DataFrame:
     return files.select(F.col("path").alias("doc_key")).join(texts, "doc_key", "left").withColumnRenamed("doc_key", "source_file")
 
 
-def run_folders(spark: SparkSession, config: EngineConfig = DEFAULT, extension: str = ".pdf", reader=None, encoder: V.Encoder | None = None, codes: list[str] | None = None, books: list[str] | None = None) -> Coverage:
-    """A run over a folder of books (not its subfolders) and one of syllabi (with them)."""
-    from ..sources.tables import find_files, pdf_pages, read_pages
+def run_folders(spark: SparkSession, config: EngineConfig = DEFAULT, extension: str = ".pdf", reader=None, encoder: V.Encoder | None = None, codes: list[str] | None = None, books: list[str] | None = None, info_reader=None, char_reader=None) -> Coverage:
+    """A run over a folder of books (not its subfolders) and one of syllabi (with them).
+
+    Without readers files are PDF files, with information entries, and with characters where their library is there.
+    Books that cannot be read are told in the log and left out.
+    """
+    from ..sources.tables import find_files, pdf_chars, pdf_info, pdf_pages, read_chars, read_info, read_pages
 
-    reader = reader or pdf_pages
+    if reader is None:
+        reader, info_reader = pdf_pages, info_reader or pdf_info
+        char_reader = char_reader or (pdf_chars if find_spec("pdfplumber") else None)
+    if char_reader is None:
+        LOG.info("no reader of characters: books without a table of contents get no chapters")
     syllabi = read_syllabi(find_files(spark, config.syllabi_dir, extension), reader)
     files = find_files(spark, config.books_dir, extension, recursive=False).withColumn("doc_key", file_stem(F.col("path")))
-    docs = files.select("doc_key", "path", F.lit("").alias("info_title"), F.lit("").alias("info_author"))
-    pages = read_pages(files, reader).where("error is null").drop("error")
-    return map_coverage(syllabi, docs, pages, None, encoder, codes, books, config)
+    docs = stored(read_info(files, info_reader), "docs")
+    read = stored(read_pages(files, reader), "read")
+    failed = read.where("error is not null")
+    if lost := failed.count():
+        shown = "; ".join(f"{r.doc_key} ({r.error})" for r in failed.select("doc_key", "error").orderBy("doc_key").limit(20).collect())
+        LOG.warning("%d books could not be read, among them: %s", lost, shown)
+    chars = None if char_reader is None else lambda needed: read_chars(files.join(needed, "doc_key", "left_semi"), char_reader, config.heading_pages)
+    return map_coverage(syllabi, docs, read.where("error is null").drop("error"), chars, encoder, codes, books, config)

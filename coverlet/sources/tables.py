@@ -70,3 +70,79 @@ def read_pages(files: DataFrame, reader: Reader = text_pages) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_key", "page_no", "text", "error"])
 
     return files.select("doc_key", "content").mapInArrow(run, "doc_key string, page_no int, text string, error string")
+
+
+#: Takes a file's bytes, returns its title and author.
+InfoReader = Callable[[bytes], tuple[str | None, str | None]]
+#: Takes a file's bytes and a number of pages, gives the characters (top, x0, size, text) of each page up to it.
+CharReader = Callable[[bytes, int], Iterator[list[tuple[float, float, float, str]]]]
+
+
+def pdf_info(content: bytes) -> tuple[str | None, str | None]:
+    """Title and author by a PDF file's information entries."""
+    import io
+
+    import pypdf
+
+    found = pypdf.PdfReader(io.BytesIO(content), strict=False).metadata or {}
+    return tuple(None if found.get(k) is None else str(found[k]) for k in ("/Title", "/Author"))
+
+
+def pdf_chars(content: bytes, pages: int) -> Iterator[list[tuple[float, float, float, str]]]:
+    """Characters of a PDF file's first pages, by an optional library; a page that cannot be read has none."""
+    import io
+
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        for page in pdf.pages[:pages]:
+            try:
+                yield [(float(c["top"]), float(c["x0"]), float(c.get("size") or 0), c["text"]) for c in page.chars]
+            except Exception:
+                yield []
+            page.close()
+
+
+def read_info(files: DataFrame, reader: InfoReader | None) -> DataFrame:
+    """(doc_key, path, info_title, info_author) of files (doc_key, path, content); empty where there is none, the
+    file cannot be read or there is no reader. Files with null content have none."""
+    if reader is None:
+        return files.select("doc_key", "path", F.lit("").alias("info_title"), F.lit("").alias("info_author"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for content in batch.column(2):
+                try:
+                    told.append(reader(content.as_py()))
+                except ImportError:
+                    raise
+                except Exception:
+                    told.append((None, None))
+            entries = [pa.array([t[k] or "" for t in told], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *entries], ["doc_key", "path", "info_title", "info_author"])
+
+    return files.select("doc_key", "path", "content").mapInArrow(run, "doc_key string, path string, info_title string, info_author string")
+
+
+def read_chars(files: DataFrame, reader: CharReader, pages: int) -> DataFrame:
+    """(doc_key, page_no, char_seq, top, x0, size, text) of the first pages of files (doc_key, content), a page at a time.
+
+    A file that cannot be read, or has null content, gives what was read before the failure.
+    """
+    names = ("doc_key", "page_no", "char_seq", "top", "x0", "size", "text")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    for page, chars in enumerate(reader(content.as_py(), pages)):
+                        rows = [(key, page, k, *c) for k, c in enumerate(chars)]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], list(names))
+                except ImportError:
+                    raise
+                except Exception:
+                    continue
+
+    return files.select("doc_key", "content").mapInArrow(run, "doc_key string, page_no int, char_seq int, top double, x0 double, size double, text string")

@@ -1,12 +1,17 @@
 """The whole run on two small books and a syllabus."""
 
+import re
+import zipfile
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from coverlet.__main__ import main
 from coverlet.config import EngineConfig
-from coverlet.plans.coverage import calibrate, pick_books, run_folders
-from coverlet.sources.tables import text_pages
+from coverlet.operators.vectors import HashingEncoder, encode_cached
+from coverlet.plans.coverage import book_chapters, calibrate, pick_books, run_folders
+from coverlet.sources.tables import read_chars, read_info, text_pages
 
 HEAT = [
     "cover",
@@ -70,8 +75,85 @@ def test_run(spark, folders):
 
 
 def test_command_line(spark, folders, tmp_path):
-    main(["--books-dir", str(folders / "books"), "--syllabi-dir", str(folders / "syllabi"), "--output", str(tmp_path / "r"), "--text"])
+    extra = ["--workbook", str(tmp_path / "r.xlsx"), "--cache", str(tmp_path / "cache")]
+    main(["--books-dir", str(folders / "books"), "--syllabi-dir", str(folders / "syllabi"), "--output", str(tmp_path / "r"), "--text", *extra])
     assert spark.read.parquet(str(tmp_path / "r/recommendations")).count() == 5
-    main(["--syllabi-dir", str(folders / "syllabi"), "--output", str(tmp_path / "qa"), "--text", "--qa"])
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+        assert b"<cellXfs" in z.read("xl/styles.xml")
+    assert len(re.findall("<row>", sheet)) == 6
+    assert sheet.count('s="1"') == len(re.findall("<col ", sheet)) == 21
+    assert 'autoFilter ref="A1:U6"' in sheet
+    kept = spark.read.parquet(str(tmp_path / "cache"))
+    assert kept.count() == kept.select("text_hash").distinct().count() > 0
+    main(["--syllabi-dir", str(folders / "syllabi"), "--output", str(tmp_path / "qa"), "--text", "--qa", "--quiet", "--dump", str(tmp_path / "dump")])
+    assert "UNIT I" in "".join(f.read_text() for f in (tmp_path / "dump").rglob("part-*.txt"))
     row = spark.read.option("header", True).csv(str(tmp_path / "qa")).first()
     assert (row.status, row.n_subjects, row.n_no_books) == ("partial", "2", "1")
+
+
+def test_font_fallback(spark):
+    """Only books without usable contents are read for characters; their large lines become chapters."""
+
+    def sized_chars(content, pages):
+        """Lines `size|text`, pages parted by form feeds; a page `bad` fails."""
+        for page in content.decode().split("\f")[:pages]:
+            if page == "bad":
+                raise ValueError("bad page")
+            yield [(float(n), float(x), float(line.split("|")[0]), c) for n, line in enumerate(page.splitlines()) for x, c in enumerate(line.split("|")[1])]
+
+    plain = "10|body one\n10|body two\n10|body three"
+    files = [("a", b"20|Heat\n" + plain.encode() + b"\f" + plain.encode() + b"\f20|Light\n14|Lenses\n" + plain.encode()), ("b", b"20|Never\n" + plain.encode()), ("c", b"bad"), ("d", None), ("e", b"")]
+    table = spark.createDataFrame([(k, bytearray(c) if c is not None else None) for k, c in files], "doc_key string, content binary")
+    contents = "CONTENTS\n" + "".join(f"{n} Title Number{n} ..... {n}\n" for n in range(1, 6))
+    pages = [("a", k, "body") for k in range(4)] + [("b", 0, contents)] + [("b", k, f"Title Number{k}\nwords") for k in range(1, 7)] + [(d, 0, "x") for d in "cde"]
+    asked = []
+
+    def chars(needed):
+        asked.extend(r.doc_key for r in needed.collect())
+        return read_chars(table.join(needed, "doc_key", "left_semi"), sized_chars, 500)
+
+    got = book_chapters(spark.createDataFrame(pages, "doc_key string, page_no int, text string"), chars).collect()
+    assert sorted(asked) == ["a", "c", "d", "e"]
+    found = sorted((r.title, r.page_start, r.page_end, [s.title for s in r.sections]) for r in got if r.doc_key == "a")
+    assert found == [("Heat", 0, 1, []), ("Light", 2, 3, ["Lenses"])]
+    assert {r.doc_key for r in got} == {"a", "b"}
+    assert "Never" not in {r.title for r in got}
+    assert read_chars(table.where("doc_key = 'a'"), sized_chars, 1).agg(F.max("page_no")).first()[0] == 0
+
+
+def test_info(spark):
+    """Unreadable files and missing entries give empty strings."""
+    rows = spark.createDataFrame([("a", "p/a", bytearray(b"T;A")), ("b", "p/b", bytearray(b"bad")), ("c", "p/c", None), ("d", "p/d", bytearray(b";A"))], "doc_key string, path string, content binary")
+    got = read_info(rows, lambda c: tuple(x or None for x in c.decode().split(";", 1)[:2]) if b";" in c else 1 / 0)
+    assert sorted(map(tuple, got.collect())) == [("a", "p/a", "T", "A"), ("b", "p/b", "", ""), ("c", "p/c", "", ""), ("d", "p/d", "", "A")]
+    assert {(r.info_title, r.info_author) for r in read_info(rows, None).collect()} == {("", "")}
+
+
+def test_kept_vectors(spark, tmp_path):
+    """Known texts are not encoded again, all rows come back, and models do not mix."""
+    folder = str(tmp_path / "cache")
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c")], "id int, text string")
+    encoder = HashingEncoder()
+    first = {r.id: r.embedding for r in encode_cached(rows, folder, encoder).collect()}
+    assert {k: np.allclose(v, encoder([{1: "a b", 2: "a b", 3: "", 4: "c"}[k]])[0]) for k, v in first.items()} == dict.fromkeys((1, 2, 3, 4), True)
+
+    class Fails(HashingEncoder):
+        def __call__(self, texts):
+            assert not len(texts) or set(texts) == {"new"}
+            return super().__call__(texts)
+
+    more = rows.union(spark.createDataFrame([(5, "new")], "id int, text string"))
+    again = {r.id: r.embedding for r in encode_cached(more, folder, Fails()).collect()}
+    assert {k: again[k] for k in first} == first and set(again) == {1, 2, 3, 4, 5}
+    assert spark.read.parquet(folder).count() == 4
+
+    class Other(HashingEncoder):
+        name = "other"
+
+        def __call__(self, texts):
+            return -super().__call__(texts)
+
+    other = {r.id: r.embedding for r in encode_cached(rows, folder, Other()).collect()}
+    assert other[1] == [-x for x in first[1]]
+    assert encode_cached(rows.limit(0), folder, encoder).count() == 0
