@@ -8,6 +8,7 @@ measured here.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -22,12 +23,15 @@ def _masks(text: str) -> dict[str, int]:
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
-    masks, full = _masks(a), (1 << len(a)) - 1
+    return _common(_masks(a), (1 << len(a)) - 1, len(a), b)
+
+
+def _common(masks: dict[str, int], full: int, n: int, b: str) -> int:
     free = full
     for c in b:
         hit = free & masks.get(c, 0)
         free = ((free + hit) | (free - hit)) & full
-    return len(a) - free.bit_count()
+    return n - free.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -36,7 +40,7 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a stretch of the longer one of at most its length."""
+    """The best ratio of the shorter text with a stretch of its length of the longer one, or with a shorter stretch at an end."""
     if len(a) == len(b):
         return max(_best_window(a, b), _best_window(b, a))
     return _best_window(*sorted((a, b), key=len))
@@ -48,13 +52,17 @@ def _best_window(short: str, long: str) -> float:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    letters, best = set(short), 0.0
+    masks, full, best = _masks(short), (1 << n) - 1, 0.0
+    met = [0, *accumulate(c in masks for c in long)]
     for start in range(1 - n, len(long)):
-        stop = start + n
+        stop = min(start + n, len(long))
         start = max(0, start)
+        # A common subsequence has no more letters than the window shares with the shorter text.
+        if 200.0 * (met[stop] - met[start]) <= best * (n + stop - start):
+            continue
         # A best window begins and ends with a letter of the shorter text, or is cut at an end of the longer one.
-        if (stop >= len(long) or long[stop - 1] in letters) and (start == 0 or stop <= len(long) or long[start] in letters):
-            best = max(best, ratio(short, long[start:stop]))
+        if (stop == len(long) or long[stop - 1] in masks) and (start == 0 or stop - start == n or long[start] in masks):
+            best = max(best, 200.0 * _common(masks, full, n, long[start:stop]) / (n + stop - start))
     return best
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +14,34 @@ from ..config import DEFAULT, EngineConfig
 from .fuzzy import token_set_ratio_column
 
 
+def _columns(places: pa.Array, n: int, kind: pa.DataType) -> np.ndarray:
+    """One row a place, from the places of vectors of length n laid end to end."""
+    return np.ascontiguousarray(pc.cast(places, kind).to_numpy(zero_copy_only=False).reshape(-1, n).T)
+
+
+@F.arrow_udf(T.DoubleType())
+def _dot(a: pa.Array, b: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(a), -1).to_numpy(zero_copy_only=False)
+    real = pc.fill_null(pc.equal(pc.list_value_length(a), pc.list_value_length(b)), False).to_numpy(zero_copy_only=False).copy()
+    out = np.zeros(len(a))
+    for n in np.unique(size[real & (size > 0)]):
+        rows = np.flatnonzero(real & (size == n))
+        x, y = (c.take(pa.array(rows)).flatten() for c in (a, b))
+        known = _columns(pc.and_(x.is_valid(), y.is_valid()), n, pa.bool_()).all(0)
+        total = np.zeros(len(rows))
+        for p, q in zip(*(_columns(pc.fill_null(c, 0), n, pa.float64()) for c in (x, y)), strict=True):
+            total += p * q
+        out[rows], real[rows] = total, known
+    return pa.array(out, mask=~real)
+
+
 def dot(a: Column, b: Column) -> Column:
-    """The dot product in double precision; of unit vectors the cosine."""
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    """The dot product in double precision, summed in order; of unit vectors the cosine.
+
+    Null vectors, null places and vectors of unequal length give null. Batches of pairs pass to Python as they are laid
+    out in memory: functions of higher order, the other way, are interpreted for each place of each pair.
+    """
+    return _dot(a, b)
 
 
 def rescale_semantic(similarity: Column, config: EngineConfig = DEFAULT) -> Column:

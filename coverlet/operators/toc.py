@@ -74,9 +74,15 @@ def page_offsets(entries: DataFrame, pages: DataFrame, config: EngineConfig = DE
     """
     heads = pages.select("doc_key", "page_no", normalize(F.substring(F.coalesce("text", F.lit("")), 1, config.anchor_chars)).alias("head"))
     counts = pages.groupBy("doc_key").agg((F.max("page_no") + 1).alias("num_pages"))
-    tried = entries.select("doc_key", "seq", "page", normalize(F.col("title")).alias("wanted"), F.explode(F.sequence(F.lit(config.offset_from), F.lit(config.offset_to))).alias("off"))
-    tried = tried.where("wanted <> ''").withColumn("page_no", F.col("page") - 1 + F.col("off"))
-    scored = tried.join(heads.where("head <> ''"), ["doc_key", "page_no"]).withColumn("score", score(F.col("wanted"), F.col("head"))).where("score > 0")
+    tried = entries.select("doc_key", "seq", "page", normalize(F.col("title")).alias("wanted")).where("wanted <> ''")
+    # Pages lie in bands as wide as the range of offsets, so an entry meets two bands and no other page of its document.
+    width = config.offset_to - config.offset_from + 1
+    band = lambda page_no: F.floor(page_no / width)
+    least = F.col("page") - 1 + config.offset_from
+    tried = tried.withColumn("band", F.explode(F.array_distinct(F.array(band(least), band(least + width - 1)))))
+    off = F.col("page_no") - F.col("page") + 1
+    scored = tried.join(heads.where("head <> ''").withColumn("band", band(F.col("page_no"))), ["doc_key", "band"])
+    scored = scored.withColumn("off", off.cast("int")).where(F.col("off").between(config.offset_from, config.offset_to)).withColumn("score", score(F.col("wanted"), F.col("head"))).where("score > 0")
     best = scored.groupBy("doc_key", "seq").agg(F.max(F.struct("score", (-F.col("off")).alias("o"))).alias("b")).select("doc_key", "seq", F.col("b.score").alias("score"), (-F.col("b.o")).alias("own"))
     votes = best.where(F.col("score") >= config.anchor_score).groupBy("doc_key", "own").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     modal = votes.groupBy("doc_key").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "own")).alias("m")).select("doc_key", F.col("m.own").alias("everywhere"))

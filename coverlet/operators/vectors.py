@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from ..functions.scoring import dot, rescale_semantic
 
 #: Takes texts, returns one float vector each.
 Encoder = Callable[[list[str]], np.ndarray]
+#: Texts whose words are held at one time.
+TEXTS_AT_ONCE = 256
 
 
 class HashingEncoder:
@@ -29,11 +32,14 @@ class HashingEncoder:
         self.size = size
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                h = xxhash.xxh64_intdigest(word)
-                row[h % self.size] += 1 if h >> 63 else -1
+        out = np.empty((len(texts), self.size), np.float32)
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            words = [t.lower().split() for t in texts[start : start + TEXTS_AT_ONCE]]
+            h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64)
+            row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            place = row * self.size + (h % np.uint64(self.size)).astype(np.int64)
+            counts = np.bincount(place, np.where(h >> np.uint64(63), 1.0, -1.0), len(words) * self.size)
+            out[start : start + len(words)] = counts.reshape(-1, self.size)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 

@@ -360,3 +360,39 @@ def test_sources(spark, tmp_path):
 
 def test_encoder():
     assert V.encoder_works(V.HashingEncoder(), ("heat flow in metals", "flow of heat"), ("heat flow in metals", "poems of spring"))
+
+
+def test_encoder_by_definition():
+    """Signed counts of words by their hash, text by text, over more texts than are held at once."""
+    import numpy as np
+    import xxhash
+
+    rng = random.Random(5)
+    texts = ["", "  ", *(" ".join(f"W{rng.randint(0, 60)}" for _ in range(rng.randint(0, 40))) for _ in range(V.TEXTS_AT_ONCE + 40))]
+    got = V.HashingEncoder(16)(texts)
+    for text, row in zip(texts, got, strict=True):
+        want = np.zeros(16)
+        for word in text.lower().split():
+            h = xxhash.xxh64_intdigest(word)
+            want[h % 16] += 1 if h >> 63 else -1
+        norm = np.sqrt((want**2).sum())
+        assert row == pytest.approx(want / (norm or 1), abs=1e-6)
+    assert V.HashingEncoder()([]).shape == (0, 64)
+
+
+def test_dot_of_odd_vectors(spark):
+    """Null vectors, null places and unequal lengths give null, empty vectors 0."""
+    pairs = [([1.0, 2.0], [3.0, 4.0], 11.0), (None, [1.0], None), ([1.0], None, None), ([1.0, None], [1.0, 2.0], None), ([], [], 0.0), ([1.0], [1.0, 2.0], None), ([0.5, -2.0, 4.0], [2.0, 1.0, 0.25], 0.0)]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a array<float>, b array<float>, want double")
+    assert [(r.got, r.want) for r in rows.select("want", S.dot(F.col("a"), F.col("b")).alias("got"), "k").orderBy("k").collect()] == [(p[2], p[2]) for p in pairs]
+
+
+def test_partial_ratio_by_definition():
+    """The best ratio over every stretch of the longer text as long as the shorter one, and the shorter ones at its ends."""
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcde ") for _ in range(rng.randint(1, n))) for n in (7, 16))
+        short, long = sorted((a, b), key=len)
+        sides = [(short, long)] if len(a) != len(b) else [(a, b), (b, a)]
+        want = max(fuzzy.ratio(s, t[k:m]) for s, t in sides for k in range(len(t)) for m in range(k + 1, min(k + len(s), len(t)) + 1) if m - k == len(s) or k == 0 or m == len(t))
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(want)
