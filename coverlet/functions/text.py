@@ -14,18 +14,18 @@ def lit_array(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
-# Fixed value: what counts as white space, inside a class of a regular expression.
-SPACE = "\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Fixed value: what counts as white space, inside a class of a regular expression with Unicode's classes (UNICODE first).
+SPACE, UNICODE = "\\s\\x1c-\\x1f", "(?U)"
 
 
 def strip(c: Column, chars: str = SPACE) -> Column:
     """Without the characters of a regex class at both ends."""
-    return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
+    return F.regexp_replace(c, f"{UNICODE}^[{chars}]+|[{chars}]+$", "")
 
 
 def words(c: Column) -> Column:
     """White-space-separated words; of blank text none."""
-    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{UNICODE}[{SPACE}]+"), lambda w: w != "")
 
 
 def fix_ligatures(c: Column) -> Column:

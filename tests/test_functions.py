@@ -396,3 +396,11 @@ def test_partial_ratio_by_definition():
         sides = [(short, long)] if len(a) != len(b) else [(a, b), (b, a)]
         want = max(fuzzy.ratio(s, t[k:m]) for s, t in sides for k in range(len(t)) for m in range(k + 1, min(k + len(s), len(t)) + 1) if m - k == len(s) or k == 0 or m == len(t))
         assert fuzzy.partial_ratio(a, b) == pytest.approx(want)
+
+
+def test_white_space(spark):
+    """Every code point that is white space in Python splits and is stripped, and no other."""
+    codes = [k for k in range(0x10000) if not 0xD800 <= k <= 0xDFFF]
+    rows = spark.createDataFrame([(k, f"{chr(k)}a{chr(k)}b{chr(k)}") for k in codes], "k int, t string")
+    got = rows.select("k", F.size(T.words(F.col("t"))).alias("n"), F.length(T.strip(F.col("t"))).alias("m")).collect()
+    assert [(r.k, r.n, r.m) for r in sorted(got)] == [(k, 2, 3) if chr(k).isspace() else (k, 1, 5) for k in codes]
