@@ -97,10 +97,11 @@ class Packer:
             demand = np.array([(n, 1, loss) for n, loss in kinds], float)
             worth = demand / (full * full)
             count = np.array([len(self.waiting[k]) for k in kinds])
+            index = {k: i for i, k in enumerate(kinds)}
             for _ in range(_ROUND):
                 if self.tokens < max(1, least) or not count.any():
                     break
-                left, out, cut = full.copy(), [], False
+                left, out, cut = full.copy(), [], []
                 while left[0] >= 1 and left[1] >= 1:
                     gain = np.where((count > 0) & (demand[:, 0] <= left[0]) & (demand[:, 2] <= left[2]), worth @ left, -1)
                     at = int(gain.argmax())
@@ -119,15 +120,15 @@ class Packer:
                     if size:
                         piece, rest = piece.cut(size)
                         self._wait(rest)
-                        cut = True
+                        cut.append((len(rest), rest.loss))
                     out.append(piece)
                     left -= (len(piece), 1, piece.loss)
                     if cut and not count.any():
                         break
                 yield out
-                if cut:
-                    index = {k: i for i, k in enumerate(kinds)}
-                    count = np.array([len(self.waiting.get(k, ())) for k in index])
+                for kind in cut:
+                    if kind in index:
+                        count[index[kind]] += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits | None = None, end_id: int = 1, remembered: int = REMEMBERED, loss_share: float = 1.0) -> DataFrame:

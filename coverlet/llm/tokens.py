@@ -9,13 +9,18 @@ from __future__ import annotations
 import base64
 import json
 import os
+import string
 import unicodedata
 from array import array
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 
 #: Marks that end a chunk apart: after a letter the splitter starts a new piece at them.
 _MARKS = ".,!?;:#$%&*|"
+#: Kinds of bytes.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
 #: Chunks that one worker remembers, about 200 bytes each.
 REMEMBERED = 1_500_000
 
@@ -40,6 +45,12 @@ class ChunkEncoder:
         light = json.loads(self.tokenizer.to_str())
         light |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
         self.light = Tokenizer.from_str(json.dumps(light))
+        #: The kind of each byte. A mark in a special token's text does not end a chunk, as it would cut the token.
+        special = b"".join(x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.kinds = np.full(256, _OTHER, np.uint8)
+        self.kinds[list(b" \t\n\v\f\r")] = _SPACE
+        self.kinds[list(string.ascii_letters.encode())] = _LETTER
+        self.kinds[[x for x in _MARKS.encode() if x not in special]] = _MARK
         if suffix:
             self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
 
@@ -73,18 +84,12 @@ class ChunkEncoder:
             encoded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
             self.ids.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, encoded, strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # A special token's text has capitals or not; only texts without its beginning are lower-cased here.
-        chunks = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        seen = set().union(*chunks)
-        if len(self.ids) > self.remembered:
-            # What these texts have again is likely to come again.
-            self.ids = {x: self.ids[x] for x in seen.intersection(self.ids)}
-        new = seen.difference(self.ids)
-        new = list(new)
-        texts = b" ".join(new).decode("utf-8", "replace").split(" ") if new else []
-        words, rest, ended = set(), [], []
-        for x, text in zip(new, texts, strict=True):
+    def _learn_all(self, new: list[bytes]) -> None:
+        """Learn chunks, of which none is known."""
+        words, ended = {x for x in new if x.isalpha()}, []
+        left = [x for x in new if x not in words]
+        rest = []
+        for x, text in zip(left, b" ".join(left).decode("utf-8", "replace").split(" ") if left else (), strict=True):
             word = text.rstrip(_MARKS)
             # Lower case can end in a mark that joins what follows (U+0130): such words are read whole.
             if not word.isalpha() or not (word.isascii() or word.lower().isalpha()):
@@ -98,9 +103,41 @@ class ChunkEncoder:
         self._learn(rest + self._learn_words(list(words.difference(self.ids))))
         known = self.ids
         known.update([(x, known[word] + known[mark]) for x, word, mark in ended])
-        # Texts look their chunks up in a small table, which stays near the processor.
-        near = {x: known[x] for x in seen}
-        return [b"".join(map(near.__getitem__, x)) for x in chunks]
+
+    def _chunks(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All chunks of the texts in order, and for each text the number of chunks up to its end."""
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        kinds = self.kinds[data]
+        # A chunk begins after white space, and at a mark after a letter.
+        begins = kinds != _SPACE
+        begins[1:] &= (kinds[:-1] == _SPACE) | ((kinds[:-1] == _LETTER) & (kinds[1:] == _MARK))
+        solid = kinds != _SPACE
+        chars = data[solid]
+        starts = np.append(np.flatnonzero(begins[solid]), len(chars))
+        ends = np.searchsorted(np.flatnonzero(begins), np.cumsum([len(x) + 1 for x in texts], dtype=np.int64))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(chars)]), ends
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        # A special token's text has capitals or not; only texts without its beginning are lower-cased here.
+        chunks, ends = self._chunks([x if b"<|" in x else x.lower() for x in texts])
+        coded = chunks.dictionary_encode()
+        del chunks
+        seen = coded.dictionary.to_pylist()
+        if len(self.ids) > self.remembered:
+            # What these texts have again is likely to come again.
+            self.ids = {x: self.ids[x] for x in seen if x in self.ids}
+        found = list(map(self.ids.get, seen))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            self._learn_all([seen[i] for i in new])
+            for i in new:
+                found[i] = self.ids[seen[i]]
+        joined = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, starts, ids = joined.buffers()
+        at = [0, *np.frombuffer(starts, np.int64)[ends].tolist()]
+        return [bytes(ids[a:b]) for a, b in pairwise(at)]
 
 
 class ByteEncoder:

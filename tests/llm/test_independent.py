@@ -14,7 +14,7 @@ from coverlet.llm import bigru, context_mixing, near_dedup, queries, secrets
 from coverlet.llm.context_mixing import score_texts
 from coverlet.llm.near_dedup import near_duplicates
 from coverlet.llm.order_minhash import edited_fingerprints, fingerprints, likeness, sketch
-from coverlet.llm.packing import Limits, pack
+from coverlet.llm.packing import Limits, Packer, Piece, pack
 from coverlet.llm.sharding import ShardStore
 from coverlet.llm.tokens import ByteEncoder, ChunkEncoder
 
@@ -250,6 +250,35 @@ def test_ids_of_all_cased_letters():
     assert not wrong, wrong[:5]
 
 
+def test_words_are_encoded_once():
+    """A word before marks is the word that stands alone: no chunk is kept, and paid for, with its marks."""
+    encoder = ChunkEncoder(TOKENIZER)
+    text = "apple apple, apple. apple!! pear; pear"
+    got = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
+    assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(encoder.ids) == {b"apple", b"pear", b",", b".", b"!!", b";"}
+
+
+def test_a_cut_counts_its_rest_alone():
+    """Cuts do not count all waiting kinds again: look-ups stay in proportion to pieces, not to pieces times kinds."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *key):
+            Counted.looks += 1
+            return super().get(*key)
+
+    packer = Packer(Limits(512, 64, 384))
+    packer.waiting = Counted()
+    for i in range(300, 500):
+        packer.add(Piece(i, 0, b"\1\0\0\0" * i, i // 2, i))
+    made = list(packer.sequences(1))
+    assert sum(len(p) for s in made for p in s) == sum(range(300, 500))
+    assert sum(map(len, made)) > 200  # some were cut
+    assert Counted.looks <= 4 * sum(map(len, made))
+
+
 def test_loss_is_a_demand_of_its_own(spark):
     """Sequences are full although none may bear loss on more than three quarters, and half of all tokens do."""
     rng = random.Random(1)
