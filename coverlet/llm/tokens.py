@@ -19,6 +19,9 @@ import pyarrow as pa
 
 #: Marks that end a chunk apart: after a letter the splitter starts a new piece at them.
 _MARKS = ".,!?;:#$%&*|"
+#: Texts with any of these are not lower-cased before they are encoded: a special token's text has capitals or not, and a
+#: capital may compose with marks of U+0300 to U+037F otherwise than the small letter does.
+_CASED = b"<|", b"\xcc", b"\xcd"
 #: Kinds of bytes.
 _SPACE, _LETTER, _MARK, _OTHER = range(4)
 #: Chunks that one worker remembers, about 200 bytes each.
@@ -68,7 +71,7 @@ class ChunkEncoder:
         for start in range(0, len(words), 1000) if len(self.ends) else ():
             part = words[start : start + 1000]
             text = b" ".join(part).decode()
-            plain = text.isascii() or unicodedata.is_normalized("NFC", text) and text == text.lower()
+            plain = text == text.lower() and unicodedata.is_normalized("NFC", text)
             ids = np.array((self.light if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(part):
@@ -120,8 +123,7 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not texts:
             return []
-        # A special token's text has capitals or not; only texts without its beginning are lower-cased here.
-        chunks, ends = self._chunks([x if b"<|" in x else x.lower() for x in texts])
+        chunks, ends = self._chunks([x if any(b in x for b in _CASED) else x.lower() for x in texts])
         coded = chunks.dictionary_encode()
         del chunks
         seen = coded.dictionary.to_pylist()

@@ -1,6 +1,7 @@
 """The training-data operators against definitions written down here anew, and cases that once went wrong."""
 
 import random
+import string
 import sys
 import unicodedata
 from collections import Counter
@@ -250,6 +251,19 @@ def test_ids_of_all_cased_letters():
     assert not wrong, wrong[:5]
 
 
+def test_ids_of_capitals():
+    """Capital words beside a special token's beginning, and capitals before every mark of their own, give the tokenizer's ids."""
+    marks = [c for c in map(chr, range(0x300, 0x370))]
+    texts = ["<|x Hello World", "<|endoftext|> The End.", "I\u0338\u0307!"]
+    texts += [f"{c}{m} a{c}{m}." for c in string.ascii_uppercase for m in marks]
+    for some in ([t] for t in texts[:3]), [texts]:
+        for part in some:
+            encoder = ChunkEncoder(TOKENIZER)
+            want = [e.ids for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+            wrong = [t for t, g, w in zip(part, encoder.encode([t.encode() for t in part]), want, strict=True) if np.frombuffer(g, "<u4").tolist() != w]
+            assert not wrong, wrong[:5]
+
+
 def test_words_are_encoded_once():
     """A word before marks is the word that stands alone: no chunk is kept, and paid for, with its marks."""
     encoder = ChunkEncoder(TOKENIZER)
