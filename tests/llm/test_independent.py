@@ -3,11 +3,13 @@
 import random
 import string
 import sys
+import tracemalloc
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,47 @@ def test_shards_and_chunks_do_not_matter(spark, monkeypatch):
     assert many == pytest.approx(one, rel=1e-5)
 
 
+def test_counts_are_written_in_small_groups_and_compressed_once(spark, monkeypatch):
+    """A task that writes or reads counts holds a group of rows, not its whole part of the table."""
+    kept, stored = [], context_mixing.stored
+    monkeypatch.setattr(context_mixing, "stored", lambda df, name, *more, **options: kept.append((name, stored(df.coalesce(1), name, *more, **options))) or kept[-1][1])
+    monkeypatch.setattr(context_mixing, "CHUNK", 500)
+    monkeypatch.setattr(context_mixing, "GROUP_BYTES", 1 << 16, raising=False)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"v{rng.randrange(9000)}" for _ in range(100))) for k in range(300)]
+    score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), F.col("doc_id") % 3 != 0)
+    (counts,) = [df for name, df in kept if name == "counts"]
+    for file in counts.inputFiles():
+        found = pq.ParquetFile(file.removeprefix("file://").removeprefix("file:")).metadata
+        groups = [found.row_group(k) for k in range(found.num_row_groups)]
+        payload = found.schema.names.index("payload")
+        assert {g.column(payload).compression for g in groups} == {"UNCOMPRESSED"}
+        # The size is looked at every sixteen rows at most.
+        longest = max(len(r.payload) + len(r.counts or b"") for r in counts.collect())
+        assert len(groups) > 1
+        assert max(g.total_byte_size for g in groups) < (1 << 16) + 17 * longest
+
+
+def test_scoring_lets_token_arrays_go():
+    """The peak of a large chunk, in bytes a token: 227 when every array lived until the end."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 400, 3500)
+    starts, tokens, learns = np.cumsum(sizes) - sizes, int(sizes.sum()), rng.random(3500) < 0.8
+    keys = np.unique(rng.integers(0, 1 << 59, 5000).astype(np.uint64))
+    seq = (len(keys) * rng.random(tokens) ** 3).astype(np.int64)
+    pair, triple = context_mixing.gram_keys(keys[seq], starts, 40)
+    by = {"words": np.bincount(seq[np.repeat(learns, sizes)], minlength=len(keys)), "pairs": context_mixing.distinct(pair, learns)[1], "triples": context_mixing.distinct(triple, learns)[1]}
+    del pair, triple
+    x = {"ids": np.arange(3500), "null": np.zeros(3500, "u1"), "sizes": sizes.astype("<i4"), "bytes": sizes * 6, "learns": learns, "seq": seq, "keys": keys, "endings": rng.integers(0, context_mixing.SYMBOLS, len(keys)), "lengths": rng.integers(1, 9, len(keys))}
+    table = np.zeros((context_mixing.ROWS, context_mixing.SYMBOLS), np.float16)
+    tracemalloc.start()
+    got = context_mixing._scored(x, by, 40, 10_000, len(keys), table, np.ones(context_mixing.SYMBOLS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 3500
+    assert peak < 200 * tokens
+
+
 # --- secrets ---
 
 
