@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import patterns as P
-from ..functions.scoring import allows_section, allows_unit, combine_scores, fuzzy_score, metadata_score, round1
+from ..functions.scoring import allows_unit, combine_scores, metadata_score, round1
 from ..functions.text import coverage_label, semantic_query, stem_set, strip
-from .vectors import Encoder, best_per_chunk, encode, similarities
+from .passages import Asked
+from .vectors import Encoder, encode
 
 TOPIC = ("source_file", "code", "unit_seq", "topic_seq")
 
@@ -59,55 +60,45 @@ def top_books(best: DataFrame, topic: tuple[str, ...], pool: str, coverage: str
     return rows.where("status is not null").drop("_pass", "_pool", "_any")
 
 
-def score_candidates(topics: DataFrame, cited: DataFrame, scopes: DataFrame, chunks: DataFrame, catalog: DataFrame, semantic: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def score_candidates(topics: DataFrame, cited: DataFrame, scopes: DataFrame, chunks: DataFrame, catalog: DataFrame, vectors: DataFrame, encoder: Encoder | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """(topic keys, citation_type, key_seq, book_key, chunk_id, chunk_seq, coverage): each topic's best chunk of each cited book.
 
-    topics: (TOPIC, unit_number, topic); cited: (source_file, code, citation_type, book_key, key_seq); scopes:
-    (source_file, code, book_key, scope); chunks as with_stems gives them; semantic: (TOPIC, book_key, chunk_id, semantic).
+    topics: (TOPIC, unit_number, unit_title, topic); cited: (source_file, code, citation_type, book_key, key_seq); scopes:
+    (source_file, code, book_key, scope); vectors: (book_key, chunk_id, embedding), one row a window. Each distinct query
+    text is encoded once. Topics are the stated small side: what is asked of books goes to every task, and chunks are
+    scored by blocks, so pairs are not shuffled but those that may be a book's best.
     """
     subject = ["source_file", "code"]
+    asked = topics.withColumn("query", semantic_query(F.col("topic"), F.col("unit_title"))).where("query is not null")
+    known = encode(asked.select("query").distinct(), encoder, "query", "query_embedding", config.query_prefix)
+    texts = asked.select("topic", "query").distinct().join(known, "query").withColumn("topic_stems", stem_set(F.col("topic"))).toArrow()
     meta = catalog.select("book_key", metadata_score(*(F.col(c) for c in ("title", "authors", "edition", "year"))).alias("meta"))
-    pairs = topics.select(*TOPIC, "unit_number", "topic", stem_set(F.col("topic")).alias("topic_stems")).join(cited, subject).join(scopes, [*subject, "book_key"], "left")
+    pairs = asked.select(*TOPIC, "unit_number", "topic", "query").join(cited, subject).join(scopes, [*subject, "book_key"], "left")
     pairs = pairs.withColumn("units", F.coalesce("scope.units", F.array().cast("array<int>"))).withColumn("sections", F.coalesce("scope.sections", F.array().cast("array<string>")))
     usable = chunks.groupBy("book_key").agg(F.collect_set("section_label").alias("labels"))
     pairs = pairs.join(meta, "book_key").join(usable, "book_key").withColumn("by_section", (F.size("sections") > 0) & F.arrays_overlap("sections", "labels"))
-    rows = pairs.drop("scope", "labels", "topic_stems").join(chunks.select("book_key", "chunk_id", "chunk_seq", "section_label", "chunk_title"), "book_key")
-    rows = rows.join(semantic, [*TOPIC, "book_key", "chunk_id"])
-    # Stems meet by an index within each book, once a topic's text; pairs without a common stem score 0.
-    asked = pairs.select("topic", "book_key", "topic_stems").distinct()
-    overlaps = keyword_overlaps(asked, chunks, ["topic", "book_key"], ["book_key", "chunk_id"])
-    rows = rows.join(overlaps, ["topic", "book_key", "chunk_id"], "left").withColumn("keyword", F.coalesce("keyword", F.lit(0.0)))
     unit = F.when(allows_unit(F.col("units"), F.col("unit_number")), 1.0).otherwise(config.out_of_unit)
-    section = F.when(F.col("by_section") & ~allows_section(F.col("sections"), F.col("section_label")), config.out_of_section).otherwise(1.0)
-    covers = lambda fuzzy: combine_scores(F.col("semantic"), F.col("keyword"), fuzzy, F.col("meta"), config) * unit * section
-    # Likeness of titles is the dear score: only chunks that could win with the highest one are compared.
-    group = Window.partitionBy(*TOPIC, "citation_type", "key_seq", "book_key")
-    rows = rows.withColumn("_least", covers(F.lit(0.0))).withColumn("_bar", F.max("_least").over(group)).where(covers(F.lit(1.0)) >= F.col("_bar"))
-    rows = rows.withColumn("coverage", covers(fuzzy_score(F.col("topic"), F.col("chunk_title")))).select(*TOPIC, "citation_type", "key_seq", "book_key", "chunk_id", "chunk_seq", "coverage")
+    keys = [*TOPIC, "citation_type", "key_seq"]
+    pairs = pairs.select(*keys, "book_key", "topic", "query", unit.alias("unit"), "sections", "by_section", "meta")
+    held = Asked(pairs.toArrow(), texts, keys, config)
+
+    windows = vectors.groupBy("book_key", "chunk_id").agg(F.collect_list("embedding").alias("embeddings"))
+    rows = with_stems(chunks).select("book_key", "chunk_id", "chunk_seq", "section_label", "chunk_title", "title_stems", "body_stems").join(windows, ["book_key", "chunk_id"])
+    kinds = dict(pairs.dtypes) | dict(rows.dtypes) | dict.fromkeys(("semantic", "keyword", "fuzzy", "section"), "double")
+    names = [*keys, "book_key", "chunk_id", "chunk_seq", "semantic", "keyword", "fuzzy", "meta", "unit", "section"]
+    rows = rows.mapInArrow(held.candidates, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    covers = combine_scores(*(F.col(c) for c in ("semantic", "keyword", "fuzzy", "meta")), config) * F.col("unit") * F.col("section")
+    rows = rows.withColumn("coverage", covers).select(*keys, "book_key", "chunk_id", "chunk_seq", "coverage")
     best = best_passages(rows, (*TOPIC, "citation_type", "key_seq"), "book_key", ("chunk_id",))
     return best.withColumn("coverage", round1(F.col("coverage"), config))
 
 
-def semantic_scores(topics: DataFrame, cited: DataFrame, vectors: DataFrame, encoder: Encoder | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(TOPIC, book_key, chunk_id, similarity, semantic): best window of each chunk for each topic's query.
-
-    Each distinct query text is encoded once. vectors: (book_key, chunk_id, embedding).
-    """
-    asked = topics.withColumn("query", semantic_query(F.col("topic"), F.col("unit_title")))
-    known = encode(asked.select("query").distinct(), encoder, "query", "query_embedding", config.query_prefix)
-    books = cited.select("source_file", "code", "book_key").distinct()
-    queries = asked.select(*TOPIC, "query").join(books, ["source_file", "code"]).join(known, "query").drop("query")
-    return best_per_chunk(similarities(queries, vectors, ["book_key"]), *TOPIC, "book_key", "chunk_id", config=config)
-
-
-def recommendations(subjects: DataFrame, topics: DataFrame, cited: DataFrame, scopes: DataFrame, chunks: DataFrame, catalog: DataFrame, semantic: DataFrame, unreadable: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def recommendations(subjects: DataFrame, topics: DataFrame, cited: DataFrame, chunks: DataFrame, catalog: DataFrame, best: DataFrame, unreadable: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """The report's rows, at least one a topic; `seq` sorts them in report order.
 
-    subjects: (source_file, subject_seq, code, name). Topics without a reported book get a Not Found row whose note
+    subjects: (source_file, subject_seq, code, name); best: as score_candidates gives it. Topics without a reported book get a Not Found row whose note
     says why, and which cited books had no text.
     """
-    stems = with_stems(chunks)
-    best = score_candidates(topics, cited, scopes, stems, catalog, semantic, config)
     pooled = best.withColumn("pool", F.when(F.col("citation_type") == "textbook", 0).otherwise(1))
     chosen = top_books(pooled, TOPIC, "pool", config=config)
     told = chosen.join(catalog.select("book_key", "title", "authors", "edition", "publisher", "year", "book_type"), "book_key")

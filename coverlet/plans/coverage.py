@@ -120,9 +120,10 @@ def map_coverage(syllabi: DataFrame, docs: DataFrame, pages: DataFrame, chars: C
     windows = K.subchunks(chunks, "book_key", "chunk_id", config=config).select("book_key", "chunk_id", "text")
     vectors = V.encode_cached(windows, config.cache_dir, encoder) if config.cache_dir else V.encode(windows, encoder)
     vectors = vectors.select("book_key", "chunk_id", "embedding")
-    semantic = stored(R.semantic_scores(topics, cited, vectors, encoder, config), "semantic")
+    last = K.last_of_id(chunks)
+    best = stored(R.score_candidates(topics, cited, scopes, last, catalog, vectors, encoder, config), "best")
     missing = Q.unreadable(resolved, catalog, chunks, "source_file", "code")
-    rows = R.recommendations(subjects, topics, cited, scopes, K.last_of_id(chunks), catalog, semantic, missing, config)
+    rows = R.recommendations(subjects, topics, cited, last, catalog, best, missing, config)
     return Coverage(subjects, topics, resolved, catalog, chapters, chunks, rows)
 
 
