@@ -76,7 +76,9 @@ def stem(w: Column) -> Column:
 
 
 def stem_set(c: Column) -> Column:
-    return F.array_distinct(F.transform(tokenize(c), stem))
+    """The distinct stems of the tokens; each distinct token is looked at once, stop words are left out as a set."""
+    tokens = F.array_except(F.split(normalize(c), " "), lit_array(("", *P.STOPWORDS)))
+    return F.array_distinct(F.transform(F.filter(tokens, lambda w: F.length(w) > 1), stem))
 
 
 def title_case(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from ..config import EngineConfig
-from ..functions.fuzzy import token_set_ratio
+from ..functions.fuzzy import TokenSetRatio
 
 #: Chunks of a block, and at most so many cells of its matrices.
 BLOCK_ROWS, BLOCK_CELLS = 512, 1 << 20
@@ -54,6 +54,7 @@ class Texts:
         self.words, self.word_at = _incidence(words)
         self.letters = np.array([len(w) for w in self.words.to_pylist()], np.float32)
         self.word_count, self.letter_count = (np.array([f(w) for w in words], float) for f in (len, lambda w: sum(map(len, w))))
+        self.ratios = [lru_cache(1 << 8)(TokenSetRatio(t)) for t in self.texts]
         self.vectors = np.array(texts["query_embedding"].to_pylist(), np.float64).reshape(len(words), -1)
 
     def keyword(self, title: pa.Array, body: pa.Array) -> np.ndarray:
@@ -113,7 +114,6 @@ class Asked:
         """
         texts: dict[bytes, Texts] = {}
         books: dict[str, Book] = {}
-        fuzzy = lru_cache(1 << 16)(token_set_ratio)
         for batch in batches:
             names = batch.column("book_key").dictionary_encode()
             code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)
@@ -127,7 +127,7 @@ class Asked:
                 book = books[name]
                 step = max(1, min(BLOCK_ROWS, BLOCK_CELLS // len(book.at)))
                 for start in range(0, len(rows), step):
-                    if (found := book.block(batch.take(pa.array(rows[start : start + step])), fuzzy)) is not None:
+                    if (found := book.block(batch.take(pa.array(rows[start : start + step])))) is not None:
                         yield found
 
 
@@ -148,7 +148,7 @@ class Book:
         self.kinds = [set(s) for s in kinds]
         self.bar = np.full(len(at), -np.inf)
 
-    def block(self, chunks: pa.RecordBatch, fuzzy: Callable[[str, str], float]) -> pa.RecordBatch | None:
+    def block(self, chunks: pa.RecordBatch) -> pa.RecordBatch | None:
         config, col = self.asked.config, chunks.column
         low, high = config.similarity_floor, config.similarity_ceiling
         near = self.texts.similarity(col("embeddings"))
@@ -164,7 +164,7 @@ class Book:
         known = np.full(most.shape, np.nan)  # the likeness where it has been worked out
 
         def compare(i: np.ndarray, p: np.ndarray) -> None:
-            known[i, p] = [fuzzy(self.texts.texts[t], titles[k]) / 100 for k, t in zip(i.tolist(), self.text[p].tolist(), strict=True)]
+            known[i, p] = [self.texts.ratios[t](titles[k]) / 100 for k, t in zip(i.tolist(), self.text[p].tolist(), strict=True)]
             most[i, p] = total(semantic[i, p], keyword[i, p], known[i, p], self.meta[p]) * self.unit[p] * section[i, p]
             np.maximum.at(self.bar, p, most[i, p])
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverlet.config import EngineConfig
-from coverlet.functions.fuzzy import token_set_ratio
+from coverlet.functions.fuzzy import TokenSetRatio, token_set_ratio
 from coverlet.operators import passages
 from coverlet.operators.ranking import TOPIC, score_candidates, with_stems
 from coverlet.operators.vectors import HashingEncoder
@@ -90,6 +90,13 @@ def test_pairs_that_cannot_win_are_not_written():
     assert sum(b.num_rows for b in copies) == 20 and set(copies[0]["chunk_id"].to_pylist()) == {"c0"}
 
 
+def test_one_text_with_many():
+    """Few short tokens, so that texts share all, some or none of them."""
+    rng, names = random.Random(1), ["ab", "b", "abc", "ñe", "é", "cab", "a", "bb", "acb", "x"]
+    for _ in range(3000):
+        a, b = (" ".join(rng.choices(names, k=rng.randint(0, n))) for n in (9, 6))
+        assert TokenSetRatio(a)(b) == token_set_ratio(a, b)
+
 def test_recommend_full_asks_for_whole_texts(spark):
     folder = "/root/testdata/sf0.001"
     told = {r.topic for r in QUERIES["recommend_full"](spark, folder).select("topic").distinct().collect()}
